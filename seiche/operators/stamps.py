@@ -35,22 +35,28 @@ def _int(c: Column) -> Column:
     return c.try_cast("long")
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
+def _days(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970 of a date that exists, else null."""
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year.between(1, 9999) & month.between(1, 12) & day.between(1, 31), F.unix_date(F.try_to_date(text, "yyyy-MM-dd")))
+    return F.when(year > 0, F.unix_date(F.try_to_date(text, "yyyy-MM-dd")))
 
 
-def _ordinal(year: Column, day: Column) -> Column:
-    """Days since 1970 of the day of a year, null beyond the year's end."""
-    first = _date(year, F.lit(1), F.lit(1))
-    length = _date(year + 1, F.lit(1), F.lit(1)) - first
-    return F.when(day.between(1, length), first + day - 1)
+def _apart(array: Column) -> Column:
+    """The array itself, by a function that keeps its projection out of the fused stage.
+
+    The parts of a stamp fused into one method would exceed what the JVM compiles.
+    """
+    return F.transform(array, lambda x: x)
 
 
-def _micros(digits: Column) -> Column:
-    """A fraction's digits as microseconds; what lies beyond is cut."""
-    return F.coalesce(_int(F.rpad(F.substring(digits, 1, 6), 6, "0")), F.lit(0))
+def _stage(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` as a generator of one row.
+
+    Filters on a result and later projections are not pushed into it, which would write its
+    expressions out again wherever they are used.
+    """
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -58,91 +64,103 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
-def _zoned(seconds: Column, zone: Column) -> Column:
-    """UTC seconds of local seconds in a named zone: the first of two, null where skipped."""
-
-    def ntz(c: Column) -> Column:
-        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c.cast("decimal(18,6)"))
-
-    def seconds_of(c: Column) -> Column:
-        return F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-
-    local = ntz(seconds)
-    utc = F.convert_timezone(zone, F.lit("UTC"), local)
-    return F.when(F.convert_timezone(F.lit("UTC"), zone, utc) == local, seconds_of(utc))
+def _with_zoned(rows: DataFrame, seconds: str, zone: Column, out: str) -> DataFrame:
+    """Adds UTC seconds of local seconds in a named zone: the first of two, null where skipped."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    rows = _stage(rows, {"_local": start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(seconds).cast("decimal(18,6)")), "_zn": zone})
+    rows = _stage(rows, {"_utc": F.expr("convert_timezone(_zn, 'UTC', _local)")})
+    back = F.expr("convert_timezone('UTC', _zn, _utc) = _local")
+    utc = F.expr("cast(unix_date(cast(_utc as date)) as long) * 86400 + hour(_utc) * 3600 + minute(_utc) * 60 + second(_utc)")
+    return _stage(rows, {out: F.when(back, utc)}).drop("_local", "_zn", "_utc")
 
 
 def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "raw_text", epochs: str = "ref_epoch", years: str = "t") -> DataFrame:
-    """The rows with local_s (seconds), micros, leap (second 60), offset_s (null: no zone in the text).
+    """The rows with local_s, micros, leap (second 60), offset_s (null: no zone in the text), number_us.
 
-    ``fixed`` marks notations that are UTC by definition (bare numbers).
+    ``number_us`` is set for bare numbers, which are UTC by definition. Built in stages that each
+    use the columns of the one before, so that no expression is written out more than once.
     """
-    raw = F.trim(F.regexp_replace(F.col(text), r"[\s ]+", " "))
-    raw = F.regexp_replace(raw, _CTIME, "$2 $1 $5 $3$4")
-    rows = stamps.withColumn("_s", raw)
-    part = lambda i: F.regexp_extract("_s", _STAMP, i)
-    rows = rows.withColumns({"_d": part(1), "_c": part(2), "_h": F.upper(F.replace(part(3), F.lit("."), F.lit(""))), "_z": F.upper(F.replace(part(4), F.lit("−"), F.lit("-")))})
-    d = F.col("_d")
-    ext = lambda pattern, i: _int(F.regexp_extract(d, pattern, i))
-    iso, dotted, named_first, named = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ -](\d{4})$"
-    month = lambda pattern, i: (F.instr(F.lit(_MONTHS), F.lower(F.regexp_extract(d, pattern, i))) + 2) / 3
-    whole = lambda m: F.when(m == F.floor(m), m.cast("long"))
-    compact, doy = r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})-?(\d{3})$"
-    days = (
-        F.when(d.rlike(iso), _date(ext(iso, 1), ext(iso, 2), ext(iso, 3)))
-        .when(d.rlike(dotted), _date(ext(dotted, 3), ext(dotted, 2), ext(dotted, 1)))
-        .when(d.rlike(compact), _date(ext(compact, 1), ext(compact, 2), ext(compact, 3)))
-        .when(d.rlike(doy), _ordinal(ext(doy, 1), ext(doy, 2)))
-        .when(d.rlike(named), _date(ext(named, 3), whole(month(named, 2)), ext(named, 1)))
-        .when(d.rlike(named_first), _date(ext(named_first, 3), whole(month(named_first, 1)), ext(named_first, 2)))
+    kind = F.when(F.col(field) == epochs, "epoch").when(F.col(field) == years, "year")
+    raw = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " "))
+    rows = _stage(stamps, {"_k": kind, "_s": F.regexp_replace(raw, _CTIME, "$2 $1 $5 $3$4")})
+    number, epoch, share = r"^(-?\d+)(?:[.,](\d*))?$", r"^(\d{2}|\d{4}):(\d{1,3}):(\d{1,5})$", r"^(\d{4})(?:[.,](\d+))?$"
+    rows = _stage(rows, {"_k": F.when(F.col("_k").isNull() & F.col("_s").rlike(number), "number").otherwise(F.coalesce("_k", F.lit("stamp")))})
+    # Three texts that every notation is brought to: a date Y-M-D or Y-DDD, a clock, a zone.
+    part = lambda i: F.when(F.col("_k") == "stamp", F.regexp_extract("_s", _STAMP, i))
+    rows = _stage(rows, {"_d": part(1), "_c": part(2), "_h": part(3), "_z": F.upper(F.translate(part(4), "−", "-"))})
+    date = F.col("_d")
+    for pattern, to in (
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+        (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
+        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+        (r"^(\d{4})(\d{3})$", "$1-$2"),
+        (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ -](\d{4})$", "$3-$2-$1"),
+        (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$3-$1-$2"),
+    ):
+        date = F.regexp_replace(date, pattern, to)
+    # Share and epoch notations give a date too: the first day of their year, to count from.
+    rows = _stage(rows, 
+        {
+            "_d": _apart(F.split(F.when(F.col("_k") == "stamp", date).when(F.col("_k") == "year", F.regexp_replace("_s", share, "$1-1-1")).when(F.col("_k") == "epoch", F.regexp_replace("_s", epoch, "$1-$2")), "-")),
+            "_c": F.split(F.regexp_replace(F.regexp_replace("_c", r"^(\d{2})(\d{2})(\d{2})", "$1:$2:$3"), ",", "."), "[:.]"),
+            "_pm": F.upper(F.substring("_h", 1, 1)),
+            "_zm": F.rpad(F.regexp_replace(F.substring("_z", 2, 9), ":", ""), 4, "0"),
+        }
+    )
+    at = lambda c, i: F.try_element_at(c, F.lit(i))
+    month = at("_d", 2)
+    named = (F.instr(F.lit(_MONTHS), F.lower(month)) + 2) / 3
+    year = _int(at("_d", 1))
+    rows = _stage(rows, 
+        {
+            "_y": F.when((F.col("_k") == "epoch") & (F.length(at("_d", 1)) == 2), year + F.when(year <= 50, 2000).otherwise(1900)).otherwise(year),
+            "_m": F.when(month.rlike("^[A-Za-z]"), F.when(named == F.floor(named), named.cast("long"))).otherwise(_int(month)),
+            "_dd": _int(at("_d", 3)),
+            "_hh": _int(at("_c", 1)),
+            "_mi": F.coalesce(_int(at("_c", 2)), F.lit(0)),
+            "_ss": F.coalesce(_int(at("_c", 3)), F.lit(0)),
+            "_us": F.coalesce(_int(F.rpad(F.substring(at("_c", 4), 1, 6), 6, "0")), F.lit(0)),
+            "_zh": _int(F.substring("_zm", 1, 2)),
+            "_zi": _int(F.substring("_zm", 3, 2)),
+        }
+    )
+    rows = _stage(rows, 
+        {
+            "_first": _days(F.col("_y"), F.coalesce("_m", F.lit(0)) * 0 + 1, F.lit(1)).cast("long"),
+            "_next": _days(F.col("_y") + 1, F.lit(1), F.lit(1)).cast("long"),
+            "_day": F.when(F.size("_d") == 3, _days(F.col("_y"), F.col("_m"), F.col("_dd")).cast("long")),
+            "_us": _apart(F.array("_us")),
+            "_hh": F.expr("case when _c[0] = '' or _c is null then 0 when _pm = '' then _hh when _hh between 1 and 12 then _hh % 12 + if(_pm = 'P', 12, 0) end"),
+        }
     )
-    c = F.col("_c")
-    clock = r"^(\d{1,2}?):?(\d{2}):?(\d{2})?(?:[.,](\d+))?$"
-    h0, m, s, frac = (F.regexp_extract(c, clock, i) for i in (1, 2, 3, 4))
-    h0, m, s = _int(h0), _int(m), F.coalesce(_int(s), F.lit(0))
-    half = F.col("_h")
-    h = F.when(half == "", h0).when(h0.between(1, 12), h0 % 12 + F.when(half == "PM", 12).otherwise(0))
-    timed = c != ""
-    ok = ~timed | (h.between(0, 23) & m.between(0, 59) & s.between(0, 60))
-    leap = timed & (s == 60)
-    seconds = days.cast("long") * 86400 + F.when(timed, h * 3600 + m * 60 + F.when(leap, 0).otherwise(s)).otherwise(0)
-    z = F.col("_z")
-    hours, minutes = _int(F.substring(z, 2, 2)), F.coalesce(_int(F.regexp_extract(z, r"^.\d{2}:?(\d{2})$", 1)), F.lit(0))
-    numeric = F.when((hours <= 18) & (minutes <= 59), (hours * 3600 + minutes * 60) * F.when(z.startswith("-"), -1).otherwise(1))
     names = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 60)])
-    offset = F.when(z.rlike(r"^[+-]"), numeric).when(z != "", F.try_element_at(names, z))
-    bad_zone = (z != "") & offset.isNull()
-    number = r"^(-?\d+)(?:[.,](\d*))?$"
-    is_number = F.col("_s").rlike(number) & ~F.col(field).isin(epochs, years)
-    n_int, n_frac = F.regexp_extract("_s", number, 1), F.regexp_extract("_s", number, 2)
-    size = F.abs(_int(n_int))
-    places = F.when(size < 10**11, 6).when(size < 10**14, 3).otherwise(0)
-    scale = F.when(places == 6, 10**6).when(places == 3, 10**3).otherwise(1)
-    tail = F.when(places == 0, 0).otherwise(F.coalesce(_int(F.expr("rpad(substring(coalesce(_f, ''), 1, _p), _p, '0')")), F.lit(0)))
-    rows = rows.withColumns({"_f": n_frac, "_p": places.cast("int")})
-    number_us = _int(n_int) * scale + tail * F.when(n_int.startswith("-"), -1).otherwise(1)
-    epoch = r"^(\d{2}|\d{4}):(\d{1,3}):(\d{1,5})$"
-    e_year, e_day, e_sec = (_int(F.regexp_extract("_s", epoch, i)) for i in (1, 2, 3))
-    e_year = F.when(F.length(F.regexp_extract("_s", epoch, 1)) == 4, e_year).otherwise(e_year + F.when(e_year <= 50, 2000).otherwise(1900))
-    epoch_s = F.when(e_sec <= 86400, _ordinal(e_year, e_day).cast("long") * 86400 + e_sec)
-    share = r"^(\d{4})(?:[.,](\d+))?$"
-    y = _int(F.regexp_extract("_s", share, 1))
-    y0, y1 = _date(y, F.lit(1), F.lit(1)).cast("long"), _date(y + 1, F.lit(1), F.lit(1)).cast("long")
-    part_of_year = F.concat(F.lit("0."), F.rpad(F.substring(F.regexp_extract("_s", share, 2), 1, 18), 1, "0")).try_cast("decimal(20,18)")
-    year_s = y0 * 86400 + F.round(part_of_year * ((y1 - y0) * 86400).cast("decimal(10,0)"), 0).cast("long")
-    is_epoch, is_year = F.col(field) == epochs, F.col(field) == years
-    plain = ~F.coalesce(is_epoch | is_year, F.lit(False))
-    read = plain & ~is_number & (d != "") & ok & ~bad_zone
-    out = rows.withColumns(
+    rows = _stage(rows, 
+        {
+            # The day itself, counted within the year where the notation does so.
+            "_day": F.expr("case when _day is not null then _day when size(_d) = 2 and _m between 1 and _next - _first then _first + _m - 1 end"),
+            "_sod": F.expr("case when _hh between 0 and 23 and _mi between 0 and 59 and _ss between 0 and 60 then _hh * 3600 + _mi * 60 + if(_ss = 60, 0, _ss) end"),
+            "leap": F.expr("coalesce(_k = 'stamp' and _ss = 60, false)"),
+            "_off": F.when(F.col("_z").rlike("^[+-]"), F.expr("case when _zh <= 18 and _zi <= 59 then (_zh * 3600 + _zi * 60) * if(_z like '-%', -1, 1) end")).when(F.col("_z") != "", F.try_element_at(names, F.col("_z"))),
+            "_size": F.abs(_int(F.regexp_extract("_s", number, 1))),
+            "_frac": _apart(F.array(F.regexp_extract("_s", number, 2))),
+            "_sec": _int(F.regexp_extract("_s", epoch, 3)),
+            "_part": F.when(F.col("_s").rlike(share) & (F.col("_y") > 0), F.concat(F.lit("0."), F.rpad(F.substring(F.regexp_extract("_s", share, 2), 1, 18), 1, "0"))).try_cast("decimal(20,18)"),
+        }
+    )
+    rows = _stage(rows, {"_places": F.expr("case when _size < 100000000000 then 6 when _size < 100000000000000 then 3 else 0 end")})
+    out = _stage(rows, 
         {
-            "local_s": F.when(is_epoch, epoch_s).when(is_year, year_s).when(is_number, F.floor(number_us / 1)).when(read, seconds),
-            "micros": F.when(read & timed & ~leap, _micros(frac)).otherwise(0),
-            "leap": F.coalesce(read & leap, F.lit(False)),
-            "offset_s": F.when(read, offset),
-            "number_us": F.when(is_number & plain, number_us),
+            "number_us": F.expr("case when _k = 'number' then (_size * cast(pow(10, _places) as long) + if(_places = 0, 0, coalesce(try_cast(rpad(substring(_frac[0], 1, _places), _places, '0') as long), 0))) * if(_s like '-%', -1, 1) end"),
+            "local_s": F.expr(
+                "case when _k = 'stamp' and (_z = '' or _off is not null) then _day * 86400 + _sod"
+                " when _k = 'epoch' and _sec <= 86400 then _day * 86400 + _sec"
+                " when _k = 'year' then _first * 86400 + cast(round(_part * cast((_next - _first) * 86400 as decimal(10,0)), 0) as long) end"
+            ),
+            "micros": F.expr("if(_k = 'stamp' and not leap, _us[0], 0)"),
+            "offset_s": F.col("_off"),
         }
     )
-    return out.withColumn("local_s", F.when(is_number & plain, F.expr("cast(floor(number_us / 1e6) as long)")).otherwise(F.col("local_s"))).drop("_s", "_d", "_c", "_h", "_z", "_f", "_p")
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in stamps.columns])
 
 
 def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str = "UTC", out: str = "utc_us", **columns: str) -> DataFrame:
@@ -150,15 +168,12 @@ def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str =
 
     An offset or abbreviation in the text decides, else the zone column, else ``default_zone``.
     """
-    spark = stamps.sparkSession
     rows = parsed_stamps(stamps, **columns)
     name = F.trim(F.col(zone))
-    usable = name.isin(*known_zones(spark)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
-    named = F.when(usable, name).otherwise(F.lit(default_zone))
-    local = F.col("local_s")
-    seconds = F.when(F.col("offset_s").isNotNull(), local - F.col("offset_s")).when(named.isin("UTC", "Etc/UTC", "GMT"), local).otherwise(_zoned(local, named))
-    value = F.coalesce(F.col("number_us"), (seconds + F.when(F.col("leap"), 60).otherwise(0)) * 1_000_000 + F.col("micros"))
-    return rows.withColumn(out, value.cast("long")).drop("local_s", "micros", "leap", "offset_s", "number_us")
+    usable = name.isin(*known_zones(stamps.sparkSession)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
+    rows = _with_zoned(rows, "local_s", F.when(usable, name).otherwise(F.lit(default_zone)), "zoned_s")
+    value = F.expr("coalesce(number_us, (if(offset_s is not null, local_s - offset_s, zoned_s) + if(leap, 60, 0)) * 1000000 + micros)")
+    return _stage(rows, {out: value.cast("long")}).drop("local_s", "micros", "leap", "offset_s", "number_us", "zoned_s")
 
 
 def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "field_name", received: str = "received_at", zone: str = "zone_name", **columns: str) -> DataFrame:
@@ -170,11 +185,12 @@ def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "fi
     """
     rows = parsed_stamps(stamps, **columns).filter(F.col("local_s").isNotNull() & F.col("offset_s").isNull() & F.col("number_us").isNull() & F.col(zone).isNull())
     known = F.unix_date(F.col(received).cast("date")).cast("long") * 86400 + F.hour(received) * 3600 + F.minute(received) * 60 + F.second(received).cast("long")
-    tests = []
-    for name in candidates:
-        lag = known - (F.col("local_s") if name == "UTC" else _zoned(F.col("local_s"), F.lit(name)))
-        tests.append(F.struct(F.lit(name).alias("zone"), lag.alias("lag_s")))
-    long = rows.select(F.col(source).alias("source"), F.explode(F.array(*tests)).alias("t")).select("source", "t.*")
+    rows = rows.withColumn("known", known)
+    lags = []
+    for i, name in enumerate(candidates):
+        rows = _with_zoned(rows, "local_s", F.lit(name), f"in_{i}")
+        lags.append(F.struct(F.lit(name).alias("zone"), (F.col("known") - F.col(f"in_{i}")).alias("lag_s")))
+    long = rows.select(F.col(source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
     scored = long.groupBy("source", "zone").agg(
         F.count("*").alias("n_stamps"),
         F.count_if(F.col("lag_s").isNull() | (F.col("lag_s") < 0)).alias("n_violations"),
