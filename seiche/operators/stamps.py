@@ -76,16 +76,17 @@ def _with_zoned(rows: DataFrame, seconds: str, zone: Column, out: str) -> DataFr
 
 
 def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "raw_text", epochs: str = "ref_epoch", years: str = "t") -> DataFrame:
-    """The rows with local_s, micros, leap (second 60), offset_s (null: no zone in the text), number_us.
+    """local_s, micros, leap (second 60), offset_s (null: no zone in the text), number_us, and ``row``.
 
-    ``number_us`` is set for bare numbers, which are UTC by definition. Built in stages that each
+    ``row`` is the input row as a struct, whatever its columns are called. ``number_us`` is set for bare numbers, which are UTC by definition. Built in stages that each
     use the columns of the one before, so that no expression is written out more than once.
     """
-    kind = F.when(F.col(field) == epochs, "epoch").when(F.col(field) == years, "year")
-    raw = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " "))
+    rows = stamps.select(F.struct("*").alias("row"), F.col(field).alias("_field"), F.col(text).alias("_text"))
+    kind = F.when(F.col("_field") == epochs, "epoch").when(F.col("_field") == years, "year")
+    raw = F.trim(F.regexp_replace(F.col("_text"), r"[\s\u00a0\u202f]+", " "))
     # The commonest notation, with its offset, is read by one cast; its text is then null and costs no more patterns.
-    plain = F.when(F.col(text).rlike(_PLAIN) & kind.isNull(), F.unix_micros(F.upper(text).try_cast("timestamp")))
-    rows = _stage(stamps, {"_k": kind, "_fast": plain})
+    plain = F.when(F.col("_text").rlike(_PLAIN) & kind.isNull(), F.unix_micros(F.upper("_text").try_cast("timestamp")))
+    rows = _stage(rows, {"_k": kind, "_fast": plain})
     rows = _stage(rows, {"_s": F.when(F.col("_fast").isNull(), F.regexp_replace(raw, _CTIME, "$2 $1 $5 $3$4"))})
     number, epoch, share = r"^(-?\d+)(?:[.,](\d*))?$", r"^(\d{2}|\d{4}):(\d{1,3}):(\d{1,5})$", r"^(\d{4})(?:[.,](\d+))?$"
     rows = _stage(rows, {"_k": F.when(F.col("_k").isNull() & F.col("_s").rlike(number), "number").otherwise(F.coalesce("_k", F.lit("stamp")))})
@@ -164,7 +165,7 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
             "offset_s": F.col("_off"),
         }
     )
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in stamps.columns])
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str = "UTC", out: str = "utc_us", **columns: str) -> DataFrame:
@@ -173,11 +174,12 @@ def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str =
     An offset or abbreviation in the text decides, else the zone column, else ``default_zone``.
     """
     rows = parsed_stamps(stamps, **columns)
-    name = F.trim(F.col(zone))
+    name = F.trim(F.col("row").getField(zone))
     usable = name.isin(*known_zones(stamps.sparkSession)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
     rows = _with_zoned(rows, "local_s", F.when(usable, name).otherwise(F.lit(default_zone)), "zoned_s")
     value = F.expr("coalesce(number_us, (if(offset_s is not null, local_s - offset_s, zoned_s) + if(leap, 60, 0)) * 1000000 + micros)")
-    return _stage(rows, {out: value.cast("long")}).drop("local_s", "micros", "leap", "offset_s", "number_us", "zoned_s")
+    kept = [F.col("row").getField(c).alias(c) for c in stamps.columns if c.lower() != out.lower()]
+    return _stage(rows, {"_value": value.cast("long")}).select(*kept, F.col("_value").alias(out))
 
 
 def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "field_name", received: str = "received_at", zone: str = "zone_name", **columns: str) -> DataFrame:
@@ -187,14 +189,15 @@ def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "fi
     both are violations. ``rank`` 1 is the offset history with the fewest, the shortest lag
     breaking ties. One row a source, candidate and map task is shuffled.
     """
-    rows = parsed_stamps(stamps, **columns).filter(F.col("local_s").isNotNull() & F.col("offset_s").isNull() & F.col("number_us").isNull() & F.col(zone).isNull())
-    known = F.unix_date(F.col(received).cast("date")).cast("long") * 86400 + F.hour(received) * 3600 + F.minute(received) * 60 + F.second(received).cast("long")
+    rows = parsed_stamps(stamps, **columns).filter(F.col("local_s").isNotNull() & F.col("offset_s").isNull() & F.col("number_us").isNull() & F.col("row").getField(zone).isNull())
+    came = F.col("row").getField(received)
+    known = F.unix_date(came.cast("date")).cast("long") * 86400 + F.hour(came) * 3600 + F.minute(came) * 60 + F.second(came).cast("long")
     rows = rows.withColumn("known", known)
     lags = []
     for i, name in enumerate(candidates):
         rows = _with_zoned(rows, "local_s", F.lit(name), f"in_{i}")
         lags.append(F.struct(F.lit(name).alias("zone"), (F.col("known") - F.col(f"in_{i}")).alias("lag_s")))
-    long = rows.select(F.col(source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
+    long = rows.select(F.col("row").getField(source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
     scored = long.groupBy("source", "zone").agg(
         F.count("*").alias("n_stamps"),
         F.count_if(F.col("lag_s").isNull() | (F.col("lag_s") < 0)).alias("n_violations"),
