@@ -40,7 +40,8 @@ def _present(name: str) -> Column:
 def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda c: F.lower(F.trim(F.col(c)))
     trust = _read(spark, sf_dir, "system_trust").select(plain("originating_system").alias("system"), "trust_order")
-    return _read(spark, sf_dir, "skjalftalisa_quakes").withColumn("system", plain("originating_system")).join(trust, "system", "left")
+    quakes = _read(spark, sf_dir, "skjalftalisa_quakes").select("row_id", "event_id", "originating_system", "updated_time", "event_code", *COMPLETE)
+    return quakes.withColumn("system", plain("originating_system")).join(trust, "system", "left")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
