@@ -76,7 +76,7 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     edge = np.empty(n + 1, bool)
     edge[0], edge[n] = word[0], word[-1]
     np.not_equal(word[1:], word[:-1], out=edge[1:n])
-    inner = begins[(begins > 0) & (begins < n)]
+    inner = np.unique(begins[(begins > 0) & (begins < n)])  # empty texts begin where the next one does
     cut = inner[word[inner] & word[inner - 1]]  # a word that would run on from one text to the next
     bounds = np.flatnonzero(edge)
     first, last = np.sort(np.append(bounds[::2], cut)), np.sort(np.append(bounds[1::2], cut))
