@@ -75,13 +75,18 @@ def _with_zoned(rows: DataFrame, seconds: str, zone: Column, out: str) -> DataFr
     return _stage(rows, {out: F.when(back, utc)}).drop("_local", "_zn", "_utc")
 
 
+def _of(stamps: DataFrame, column: str) -> Column:
+    """An input column within the result of ``parsed_stamps``."""
+    return F.col(f"in_{stamps.columns.index(column)}")
+
+
 def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "raw_text", epochs: str = "ref_epoch", years: str = "t") -> DataFrame:
-    """local_s, micros, leap (second 60), offset_s (null: no zone in the text), number_us, and ``row``.
+    """local_s, micros, leap (second 60), offset_s (null: no zone in the text), number_us, and the input.
 
-    ``row`` is the input row as a struct, whatever its columns are called. ``number_us`` is set for bare numbers, which are UTC by definition. Built in stages that each
+    The input's columns come as in_0, in_1, ..., so that no name of theirs can clash. ``number_us`` is set for bare numbers, which are UTC by definition. Built in stages that each
     use the columns of the one before, so that no expression is written out more than once.
     """
-    rows = stamps.select(F.struct("*").alias("row"), F.col(field).alias("_field"), F.col(text).alias("_text"))
+    rows = stamps.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(stamps.columns)], F.col(field).alias("_field"), F.col(text).alias("_text"))
     kind = F.when(F.col("_field") == epochs, "epoch").when(F.col("_field") == years, "year")
     raw = F.trim(F.regexp_replace(F.col("_text"), r"[\s\u00a0\u202f]+", " "))
     # The commonest notation, with its offset, is read by one cast; its text is then null and costs no more patterns.
@@ -174,11 +179,11 @@ def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str =
     An offset or abbreviation in the text decides, else the zone column, else ``default_zone``.
     """
     rows = parsed_stamps(stamps, **columns)
-    name = F.trim(F.col("row").getField(zone))
+    name = F.trim(_of(stamps, zone))
     usable = name.isin(*known_zones(stamps.sparkSession)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
     rows = _with_zoned(rows, "local_s", F.when(usable, name).otherwise(F.lit(default_zone)), "zoned_s")
     value = F.expr("coalesce(number_us, (if(offset_s is not null, local_s - offset_s, zoned_s) + if(leap, 60, 0)) * 1000000 + micros)")
-    kept = [F.col("row").getField(c).alias(c) for c in stamps.columns if c.lower() != out.lower()]
+    kept = [_of(stamps, c).alias(c) for c in stamps.columns if c.lower() != out.lower()]
     return _stage(rows, {"_value": value.cast("long")}).select(*kept, F.col("_value").alias(out))
 
 
@@ -189,15 +194,15 @@ def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "fi
     both are violations. ``rank`` 1 is the offset history with the fewest, the shortest lag
     breaking ties. One row a source, candidate and map task is shuffled.
     """
-    rows = parsed_stamps(stamps, **columns).filter(F.col("local_s").isNotNull() & F.col("offset_s").isNull() & F.col("number_us").isNull() & F.col("row").getField(zone).isNull())
-    came = F.col("row").getField(received)
+    rows = parsed_stamps(stamps, **columns).filter(F.col("local_s").isNotNull() & F.col("offset_s").isNull() & F.col("number_us").isNull() & _of(stamps, zone).isNull())
+    came = _of(stamps, received)
     known = F.unix_date(came.cast("date")).cast("long") * 86400 + F.hour(came) * 3600 + F.minute(came) * 60 + F.second(came).cast("long")
     rows = rows.withColumn("known", known)
     lags = []
     for i, name in enumerate(candidates):
-        rows = _with_zoned(rows, "local_s", F.lit(name), f"in_{i}")
-        lags.append(F.struct(F.lit(name).alias("zone"), (F.col("known") - F.col(f"in_{i}")).alias("lag_s")))
-    long = rows.select(F.col("row").getField(source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
+        rows = _with_zoned(rows, "local_s", F.lit(name), f"zone_{i}")
+        lags.append(F.struct(F.lit(name).alias("zone"), (F.col("known") - F.col(f"zone_{i}")).alias("lag_s")))
+    long = rows.select(_of(stamps, source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
     scored = long.groupBy("source", "zone").agg(
         F.count("*").alias("n_stamps"),
         F.count_if(F.col("lag_s").isNull() | (F.col("lag_s") < 0)).alias("n_violations"),

@@ -15,8 +15,8 @@ from seiche.functions.geo import number
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Aggregated as a struct: rows of a hot key are combined in the map tasks."""
     rest = [c for c in df.columns if c not in key]
-    rank = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)], F.struct(*rest).alias("_row"))
-    return df.groupBy(*key).agg(F.min(rank).alias("_r")).select(*key, *[F.col(f"_r._row.{c}").alias(c) for c in rest])
+    rank = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)])
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def smallest_sigma(df: DataFrame, key: list[str], sigma: str, position: str) -> DataFrame:

@@ -37,8 +37,8 @@ def neu_lines(series: DataFrame, scale: float = 1000.0, places: int = 2) -> Data
 
 def joined_lines(component: DataFrame) -> DataFrame:
     """``line`` of a component series: epoch, value and sigma, stars for missing ones."""
-    value = F.coalesce(F.format_string("%12.5f", number("value")), F.lit("*" * 12))
-    sigma = F.coalesce(F.format_string("%8.5f", number("sigma")), F.lit("*" * 8))
+    shown = lambda c, form, width: F.when(number(c).isNotNull(), F.format_string(form, c)).otherwise("*" * width)
+    value, sigma = shown("value", "%12.5f", 12), shown("sigma", "%8.5f", 8)
     return component.select("yearf", F.concat_ws(" ", F.format_string("%10.5f", "yearf"), value, sigma).alias("line"))
 
 

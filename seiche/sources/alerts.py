@@ -27,7 +27,7 @@ def detections(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
 def day_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, alert_id, clock, n_a, n_b: one row a detection of the day pages."""
     pattern = r'<tr><td>\[<a href="(\d+)\.html">(\d\d:\d\d:\d\d)</a>\]\s*</td><td>\s*(\d+)</td><td>\s*(\d+)</td>'
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
     each = rows.select("file", F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
     return each.select("file", *[F.regexp_extract("m", pattern, k).alias(n) for k, n in enumerate(("alert_id", "clock"), 1)], *[F.regexp_extract("m", pattern, k).cast("int").alias(n) for k, n in enumerate(("n_a", "n_b"), 3)])
 

@@ -66,7 +66,7 @@ def fault_planes(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
 
 def source_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a .sp3 or .ap3 file; every field is null where its line is absent."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sa]p3").text(paths).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sa]p3").text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
     field = lambda pattern, k=1: F.regexp_extract("value", pattern, k).try_cast("double")
     n = r"\s*(-?[\d.]+(?:E[+-]\d+)?)"
     plane = lambda p, k: field(rf"plane {p}{n}{n}{n}", k)

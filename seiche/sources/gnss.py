@@ -125,7 +125,7 @@ def sinex(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ``covariance`` holds the covariances with parameters 1 to the row's own (lower triangle); a
     correlation matrix is scaled by the sigmas. A file is parsed by one task.
     """
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
     schema = "file string, idx int, kind string, site string, soln string, epoch string, unit string, estimate double, sigma double, apriori double, covariance array<double>"
 
     def parse(name: str, body: str) -> list[tuple]:
@@ -193,8 +193,8 @@ def renames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rtk_epochs(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
-    """file, t, e, n, u, q, ns and sigmas of 1 Hz day files; comments and lines that do not parse are left out."""
-    names = ("e", "n", "u", "q", "ns", "sde", "sdn", "sdu", "sden", "sdnu", "sdue", "age", "ratio")
+    """file, t, east, north, up, q, ns and sigmas of 1 Hz day files; comments and lines that do not parse are left out."""
+    names = ("east", "north", "up", "q", "ns", "sde", "sdn", "sdu", "sden", "sdnu", "sdue", "age", "ratio")
     rows = plain_lines(spark, paths).filter("line not like '\\%%'").withColumn("w", words(F.col("line"))).filter(F.size("w") >= 15)
     t = F.try_to_timestamp(F.concat_ws(" ", F.translate(F.col("w")[0], "/", "-"), F.col("w")[1]))
     out = rows.select("file", t.cast("timestamp_ntz").alias("t"), *[number(F.col("w")[k + 2]).alias(c) for k, c in enumerate(names)])
@@ -202,13 +202,13 @@ def rtk_epochs(spark: SparkSession, paths: str | list[str], pattern: str = "*")
 
 
 def rtk_medians(epochs: DataFrame, interval: str, *, drop_q: tuple[int, ...] = (5,), most: float = 0.1) -> DataFrame:
-    """bucket, e, n, u, their sigmas and count; an epoch in two files counts once, from the later one."""
+    """bucket, east, north, up, their sigmas and n; an epoch in two files counts once, from the later one."""
     from seiche.operators.aggregates import bucket_medians
     from seiche.operators.predicates import noise_screen
 
     last = epochs.groupBy("t").agg(F.max(F.struct("file", *[c for c in epochs.columns if c not in ("file", "t")])).alias("r")).select("t", "r.*")
     kept = last.filter(noise_screen(["sde", "sdn", "sdu"], most, "q", drop_q))
-    return bucket_medians(kept, "t", interval, ["e", "n", "u", "sde", "sdn", "sdu"])
+    return bucket_medians(kept, "t", interval, ["east", "north", "up", "sde", "sdn", "sdu"])
 
 
 def autcln_statistics(rows: DataFrame) -> DataFrame:

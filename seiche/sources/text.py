@@ -24,7 +24,7 @@ def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = Non
 
 def packed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, line_no, line of files that Spark unpacks by suffix, each read whole."""
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return rows.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n", -1)).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
 
 

@@ -25,7 +25,7 @@ def utc(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def geojson_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, pos, lon, lat, depth_km (of the coordinates) and properties, a map of names to JSON text."""
-    rows = spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
     features = rows.select("file", F.posexplode(F.expr("try_variant_get(v, '$.features', 'array<variant>')")).alias("pos", "f"))
     at = lambda k: F.expr(f"try_variant_get(f, '$.geometry.coordinates[{k}]', 'double')")
     props = F.expr("try_cast(try_variant_get(f, '$.properties', 'variant') as map<string,variant>)")
