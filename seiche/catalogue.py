@@ -116,9 +116,9 @@ def p15_noise_screen(spark, d):
     return read(spark, d, "series_epochs").filter(predicates.noise_screen(["sigma"], 5, "component", ["U"])).select("rec_id")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_name LIKE 'I%' OR regexp_matches(n_name, '^[A-C].*A$')")
+@query("SELECT n_nationkey FROM nation WHERE regexp_matches(n_name, '^NATION_1') OR regexp_matches(n_name, '^NAT.*_[2-4]$')")
 def p19_glob(spark, d):
-    return read(spark, d, "nation").filter(predicates.glob_match(F.col("n_name"), ["I*", "[A-C]*A"])).select("n_nationkey")
+    return read(spark, d, "nation").filter(predicates.glob_match(F.col("n_name"), ["NATION_1*", "NAT*_[2-4]"])).select("n_nationkey")
 
 
 @query("""SELECT count(*) FILTER (WHERE o_custkey IS NULL) AS missing_o_custkey,
@@ -648,3 +648,178 @@ def st08_sessions(spark, d):
     from seiche.streaming.series import sessions
 
     return sessions(read(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+# Further operators
+
+
+@query(f"""WITH e AS ({_SIL_T}) SELECT count(*) AS n_pairs FROM e a JOIN e b ON a.row_id < b.row_id AND abs(a.t - b.t) <= 1.5""")
+def j05_band_pairs(spark, d):
+    """How many candidate pairs a band of time holds."""
+    e = _sil(spark, d).select("row_id", "t")
+    pairs = joins.band_join(e, e.select(F.col("row_id").alias("o_row"), F.col("t").alias("o_t")), "t", "o_t", 1.5).filter("row_id < o_row")
+    return pairs.agg(F.count("*").alias("n_pairs"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN l_discount WHEN l_quantity > 25 THEN l_tax END AS v FROM lineitem""")
+def j03_first_present(spark, d):
+    l = read(spark, d, "lineitem")  # noqa: E741
+    return l.select("l_orderkey", "l_linenumber", F.coalesce(F.when(F.col("l_tax") > 0.04, geo.number("l_discount")), F.when(F.col("l_quantity") > 25, geo.number("l_tax"))).alias("v"))
+
+
+@query("""SELECT e.user_id, s.day, round(e.v - s.v, 6) AS diff FROM (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) v FROM events GROUP BY 1, 2) e
+JOIN (SELECT CAST(ts AS DATE) AS day, avg(value) v FROM events WHERE user_id = 1 GROUP BY 1) s USING (day) WHERE e.user_id <> 1""")
+def j21_relative(spark, d):
+    """Every series relative to one of them, day by day."""
+    e = read(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
+    ref = e.filter("user_id = 1").select("day", F.col("v").alias("ref"))
+    return e.filter("user_id <> 1").join(ref, "day").select("user_id", "day", F.round(F.col("v") - F.col("ref"), 6).alias("diff"))
+
+
+@query("""WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) v FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+b AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) v FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT user_id, round(median(b.v - a.v), 6) AS shift, count(*) AS n FROM a JOIN b USING (user_id, day) GROUP BY 1""")
+def j44_window_shift(spark, d):
+    from seiche.models.products import window_shift
+
+    e = read(spark, d, "events").groupBy("user_id", "event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
+    out = window_shift(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), ["user_id"], "day", "v")
+    return out.withColumn("shift", F.round("shift", 6))
+
+
+@query("""SELECT station, session_code, component, count(*) FILTER (t >= 2018.3 AND t < 2018.8 AND y IS NOT NULL AND NOT isnan(y)) AS n,
+round(max(t) FILTER (t >= 2018.3 AND t < 2018.8 AND y IS NOT NULL AND NOT isnan(y)) - min(t) FILTER (t >= 2018.3 AND t < 2018.8 AND y IS NOT NULL AND NOT isnan(y)), 9) AS span FROM series_epochs GROUP BY ALL""")
+def p22_window_gates(spark, d):
+    out = agg.window_gates(read(spark, d, "series_epochs"), ["station", "session_code", "component"], "t", "y", 2018.3, 2018.8)
+    return out.select("station", "session_code", "component", "n", F.round("span", 9).alias("span"))
+
+
+@query("""SELECT station, session_code, component, max(t) < 2018.6 AS ended FROM series_epochs GROUP BY ALL""")
+def p21_span(spark, d):
+    return read(spark, d, "series_epochs").groupBy("station", "session_code", "component").agg((F.max("t") < 2018.6).alias("ended"))
+
+
+@query("""SELECT station, session_code, component, CAST(round_even(t * 365.25, 0) AS BIGINT) AS k, min(t) AS t FROM series_epochs GROUP BY ALL""")
+def a21_unique_days(spark, d):
+    s = read(spark, d, "series_epochs").withColumn("k", timeaxis.day_key(F.col("t")))
+    return s.groupBy("station", "session_code", "component", "k").agg(F.min("t").alias("t"))
+
+
+@query("""SELECT station, session_code, CAST(round_even(t * 365.25, 0) AS BIGINT) AS k, max(y) FILTER (component = 'N') AS north, max(y) FILTER (component = 'E') AS east,
+max(y) FILTER (component = 'U') AS up FROM series_epochs WHERE abs(y) < 1e6 GROUP BY ALL""")
+def s04_components(spark, d):
+    """Three component tables joined on the day, as one pivot."""
+    s = read(spark, d, "series_epochs").filter("abs(y) < 1e6").withColumn("k", timeaxis.day_key(F.col("t")))
+    one = lambda c: F.max(F.when(F.col("component") == c, F.col("y")))
+    return s.groupBy("station", "session_code", "k").agg(one("N").alias("north"), one("E").alias("east"), one("U").alias("up"))
+
+
+@query("""SELECT station, arg_max(rec_id, struct_pack(t := t, r := rec_id)) AS rec_id FROM series_epochs WHERE sigma <= 3 AND sigma > 0 GROUP BY 1""")
+def w22_last_good(spark, d):
+    s = read(spark, d, "series_epochs").filter(predicates.bounds("sigma", None, 3) & (F.col("sigma") > 0))
+    return s.groupBy("station").agg(F.max(F.struct("t", "rec_id")).getField("rec_id").alias("rec_id"))
+
+
+@query("""SELECT rec_id, t > max(t) OVER (PARTITION BY station, session_code, component) - 0.1 AS provisional FROM series_epochs""")
+def w13_provisional(spark, d):
+    s = read(spark, d, "series_epochs")
+    last = s.groupBy("station", "session_code", "component").agg(F.max("t").alias("t1"))
+    return s.join(last, ["station", "session_code", "component"]).select("rec_id", (F.col("t") > F.col("t1") - 0.1).alias("provisional"))
+
+
+@query("""WITH v AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, avg(value) v FROM events GROUP BY 1, 2)
+SELECT user_id, day, round(v - CASE WHEN count(v) OVER w >= 4 THEN quantile_cont(v, 0.2) OVER w END, 6) AS excursion FROM v
+WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING)""")
+def w08_excursion(spark, d):
+    v = read(spark, d, "events").groupBy("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("day")).agg(F.avg("value").alias("v"))
+    out = windows.excursion(v, ["user_id"], "day", "v", half_days=7, least=4)
+    return out.select("user_id", "day", F.round("excursion", 6).alias("excursion"))
+
+
+@query("""WITH r AS (SELECT rec_id, y - CASE WHEN t >= 2018.5 THEN 3 ELSE 0 END - CASE WHEN t >= 2018.7 THEN 4 ELSE 0 END AS y FROM series_epochs)
+SELECT rec_id, round(CASE WHEN abs(y) < 1e6 THEN y END, 6) AS y FROM r""")
+def m07_steps_removed(spark, d):
+    from seiche.models.products import steps_removed
+
+    s = read(spark, d, "series_epochs").select("rec_id", "station", "t", "y")
+    steps = s.select("station").distinct().select("station", F.explode(F.array(F.struct(F.lit(2018.5).alias("epoch"), F.lit(3.0).alias("amplitude")), F.struct(F.lit(2018.7).alias("epoch"), F.lit(4.0).alias("amplitude")))).alias("s")).select("station", "s.*")
+    out = steps_removed(s, steps, ["station"], "t", "y", "z")
+    return out.select("rec_id", F.round(F.when(F.abs("z") < 1e6, F.col("z")), 6).alias("y"))
+
+
+@query("""SELECT user_id, round(sum(1 / pow(1 + event_id % 5, 2) * (value - 2)) / sum(1 / pow(1 + event_id % 5, 2)), 6) AS offset FROM events GROUP BY 1""".replace("AS offset", 'AS "offset"'))
+def m37_anchored_offset(spark, d):
+    from seiche.models.products import anchored_offset
+
+    e = read(spark, d, "events").withColumn("sigma", (1 + F.col("event_id") % 5).cast("double"))
+    return e.groupBy("user_id").agg(F.round(anchored_offset("value", F.lit(2.0), "sigma"), 6).alias("offset"))
+
+
+@query("""WITH e AS (SELECT user_id, regr_slope(value, epoch_us(ts) / 86400000000.0) r FROM events GROUP BY 1) SELECT user_id, round(r * 10, 5) AS displacement FROM e""")
+def m18_displacement(spark, d):
+    from seiche.models.products import to_displacement
+
+    e = read(spark, d, "events").withColumn("t", _seconds("ts") / 86400.0)
+    out = to_displacement(agg.line_rate(e, ["user_id"], "t", "value"), F.lit(10.0))
+    return out.select("user_id", F.round("displacement", 5).alias("displacement"))
+
+
+@query("""SELECT s_suppkey, round(1 + 0.5 * (t - 2020) + CASE WHEN t > 2021 THEN 3 * (1 - exp(-(t - 2021) * 365.25 / 100)) ELSE 0 END, 9) AS x FROM (SELECT s_suppkey, 2018 + (s_suppkey % 60) / 10.0::DOUBLE t FROM supplier)""")
+def m41_apriori(spark, d):
+    from seiche.models.products import apriori_at, transient_value
+
+    s = read(spark, d, "supplier").withColumn("t", 2018 + (F.col("s_suppkey") % 60) / F.lit(10.0))
+    x = apriori_at(F.lit(1.0), F.lit(0.5), F.lit(2020.0), F.col("t")) + transient_value("EXP", F.lit(3.0), F.lit(2021.0), F.lit(100.0), F.col("t"))
+    return s.select("s_suppkey", F.round(x, 9).alias("x"))
+
+
+@query("""SELECT s_suppkey, round(((90 + 37 * s_suppkey) % 360 + 360) % 360, 6) AS strike, round(dip, 6) AS dip FROM (SELECT s_suppkey, 5 + s_suppkey % 80 AS dip FROM supplier)""")
+def f14_planes(spark, d):
+    """The auxiliary of the auxiliary is the plane itself."""
+    from seiche.functions import mechanism
+
+    s = read(spark, d, "supplier").withColumns({"s": (90 + 37 * F.col("s_suppkey")).cast("double"), "d": (5 + F.col("s_suppkey") % 80).cast("double"), "r": (F.col("s_suppkey") * 53 % 350 - 170).cast("double")})
+    one = s.select("s_suppkey", mechanism.auxiliary_plane(F.col("s"), F.col("d"), F.col("r")).alias("a"))
+    two = one.select("s_suppkey", mechanism.auxiliary_plane(F.col("a.strike"), F.col("a.dip"), F.col("a.rake")).alias("b"))
+    return two.select("s_suppkey", F.pmod(F.round("b.strike", 6), F.lit(360.0)).alias("strike"), F.round("b.dip", 6).alias("dip"))
+
+
+@query("""SELECT row_id, round(greatest(depth_km * 111.19, m * 111.19 * cos(radians(latitude))), 6) AS h FROM (SELECT row_id, latitude, CASE WHEN isnan(depth_km) THEN NULL ELSE depth_km END depth_km,
+CASE WHEN isnan(m_ml) THEN NULL ELSE m_ml END m FROM skjalftalisa_quakes)""")
+def f26_horizontal_error(spark, d):
+    q = read(spark, d, "skjalftalisa_quakes")
+    return q.select("row_id", F.round(geo.horizontal_error_km(F.col("depth_km"), F.col("m_ml"), F.col("latitude")), 6).alias("h"))
+
+
+@query("""SELECT event_id, concat_ws(',', CASE WHEN event_id & 1 <> 0 THEN 'outlier' END, CASE WHEN event_id & 2 <> 0 THEN 'declared' END, CASE WHEN event_id & 4 <> 0 THEN 'icing' END,
+CASE WHEN event_id & 8 <> 0 THEN 'snow' END, CASE WHEN event_id & 16 <> 0 THEN 'network' END) AS reasons FROM events""")
+def f59_reasons(spark, d):
+    return read(spark, d, "events").select("event_id", text.reason_names(F.col("event_id")).alias("reasons"))
+
+
+@query("""SELECT o_orderkey, source FROM (SELECT o_orderkey, 'new' AS source FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0)""")
+def st07_upsert(spark, d):
+    from seiche.streaming.series import upserted
+
+    o = read(spark, d, "orders").select("o_orderkey", F.lit(1).alias("v"))
+    old, new = o.filter("o_orderkey % 2 = 0").withColumn("source", F.lit("old")), o.filter("o_orderkey % 3 = 0").withColumn("source", F.lit("new"))
+    return upserted(old, new, ["o_orderkey"], ["v"]).select("o_orderkey", "source")
+
+
+@query("""SELECT event_id, max_by(row_id, struct_pack(m := evaluation_mode = 'manual', l := loaded_at, r := row_id)) AS row_id FROM sil_events GROUP BY 1""")
+def st04_reviewed_over_automatic(spark, d):
+    from seiche.streaming.series import reviewed_over_automatic
+
+    rows = read(spark, d, "sil_events").select("event_id", "evaluation_mode", "loaded_at", "row_id")
+    return reviewed_over_automatic(rows, "event_id", "evaluation_mode", ["loaded_at", "row_id"]).select("event_id", "row_id")
+
+
+@query()
+def m31_frames(spark, d):
+    """Translation, rotation and scale of each day from residuals at the suppliers' places; tested by planted values."""
+    from seiche.models.products import frame_parameters
+
+    s = _placed(read(spark, d, "supplier"), "s_suppkey")
+    x, y, z = geo.llh_to_xyz(F.col("lat"), F.col("lon"), F.lit(0.0))
+    rows = s.select((F.col("s_suppkey") % 3).alias("day"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return frame_parameters(rows.withColumns({"dx": F.lit(0.01) + F.col("x") * 1e-9, "dy": F.lit(-0.02) + F.col("y") * 1e-9, "dz": F.lit(0.03) + F.col("z") * 1e-9}))

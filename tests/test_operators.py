@@ -197,3 +197,28 @@ def test_counts_keep_null_categories(spark):
     df = spark.createDataFrame([(t, "a"), (t + dt.timedelta(2), None), (None, "a")], "t timestamp_ntz, c string")
     assert {(r.d.day, r.c): r.n for r in aggregates.daily_counts(df, "t", by="c").collect()} == {(1, "a"): 1, (1, None): 0, (2, "a"): 0, (2, None): 0, (3, "a"): 0, (3, None): 1}
     assert aggregates.daily_counts(df.limit(0), "t").count() == 0
+
+
+def test_products(spark):
+    import numpy as np
+
+    from seiche.functions import geo
+    from seiche.models import products
+
+    rng = np.random.default_rng(1)
+    s = spark.createDataFrame([(float(rng.uniform(-80, 80)), float(rng.uniform(-180, 180))) for _ in range(60)], "lat double, lon double")
+    x, y, z = geo.llh_to_xyz(F.col("lat"), F.col("lon"), F.lit(0.0))
+    rows = s.select(F.lit(1).alias("day"), x.alias("x"), y.alias("y"), z.alias("z"))
+    r = products.frame_parameters(rows.withColumns({"dx": 0.01 + F.col("x") * 2e-9, "dy": -0.02 + F.col("y") * 2e-9, "dz": 0.03 + F.col("z") * 2e-9})).head()
+    assert [r.tx, r.ty, r.tz] == pytest.approx([0.01, -0.02, 0.03], abs=1e-6) and r.scale_ppb == pytest.approx(2.0, abs=1e-6) and abs(r.rx_mas) < 1e-6
+    a = np.array([[2.0, 0.3, 0.1], [0.3, 1.0, 0.2], [0.1, 0.2, 3.0]])
+    g = spark.createDataFrame([("k", [float(v) for v in rng.normal(size=3)], (a * (1 + i)).ravel().tolist()) for i in range(4)], "k string, v array<double>, c array<double>")
+    g = g.select("k", *[F.col("v")[i].alias(f"v{i}") for i in range(3)], "c")
+    out = products.gls_means(g, ["k"], ("v0", "v1", "v2"), "c").head()
+    data = g.collect()
+    p = sum(np.linalg.inv(np.array(r.c).reshape(3, 3)) for r in data)
+    want = np.linalg.solve(p, sum(np.linalg.inv(np.array(r.c).reshape(3, 3)) @ [r.v0, r.v1, r.v2] for r in data))
+    assert out.mean == pytest.approx(want) and out.covariance == pytest.approx(np.linalg.inv(p).ravel())
+    m = spark.createDataFrame([("A", t, 1.0 + t) for t in range(5)] + [("B", t, 50.0 + t) for t in range(6, 9)] + [("C", 9, 0.0)], "s string, t int, y double")
+    joined = products.joined_station(m, ["A", "B", "C"], station="s", t="t", y="y", n=1).collect()
+    assert [r.y for r in joined] == [1.0, 2.0, 3.0, 4.0, 5.0, 5.0, 6.0, 7.0, 7.0]
