@@ -160,17 +160,20 @@ def matched_renames(edges: DataFrame) -> DataFrame:
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["old", "new"])
-        olds, news = sorted(set(pdf.old)), sorted(set(pdf.new))
-        weight = np.zeros((len(olds), len(news)))
-        row, col = {k: i for i, k in enumerate(olds)}, {k: i for i, k in enumerate(news)}
-        for r in pdf.itertuples():
-            # All edges agree everywhere: more events first, then like sketches, then like names.
-            weight[row[r.old], col[r.new]] = 1 + r.n_events / (1 + pdf.n_events.max()) + 0.1 * r.jaccard + 0.01 * (1 - r.name_gap)
-        found = best_assignment(weight)
-        return pd.DataFrame({"feed": pdf.feed.iloc[0], "file_no": pdf.file_no.iloc[0], "old": [olds[i] for i, _ in found], "new": [news[j] for _, j in found]})
-
-    return edges.groupBy("feed", "file_no").applyInPandas(solve, "feed string, file_no long, old string, new string")
+        found = []
+        for no, edges in pdf.groupby("file_no"):
+            olds, news = sorted(set(edges.old)), sorted(set(edges.new))
+            weight = np.zeros((len(olds), len(news)))
+            row, col = {k: i for i, k in enumerate(olds)}, {k: i for i, k in enumerate(news)}
+            most = edges.n_events.max()
+            for r in edges.itertuples():
+                # All edges agree everywhere: more events first, then like sketches, then like names.
+                weight[row[r.old], col[r.new]] = 1 + r.n_events / (1 + most) + 0.1 * r.jaccard + 0.01 * (1 - r.name_gap)
+            found += [(pdf.feed.iloc[0], no, olds[i], news[j]) for i, j in best_assignment(weight)]
+        return pd.DataFrame(found, columns=["feed", "file_no", "old", "new"])
+
+    # Some files of a feed go together: a group of its own for every file costs more than its solution.
+    return edges.withColumn("part", F.floor(F.col("file_no") / 50)).groupBy("feed", "part").applyInPandas(solve, "feed string, file_no long, old string, new string")
 
 
 def schema_changes(features: DataFrame, *, min_events: int = 2, **columns: str) -> DataFrame:
@@ -184,7 +187,7 @@ def schema_changes(features: DataFrame, *, min_events: int = 2, **columns: str)
     changes = written(key_changes(profile(cells)), "drift-changes")
     order = W.partitionBy("feed").orderBy("file_no")
     files = cells.select("feed", "file_no").distinct().withColumn("before", F.lag("file_no").over(order))
-    renames = matched_renames(rename_edges(cells, changes, files, min_events))
+    renames = written(matched_renames(rename_edges(cells, changes, files, min_events)), "drift-renames")
     gone = renames.select("feed", "file_no", F.col("old").alias("key"), F.lit("removed").alias("change_kind")).unionByName(renames.select("feed", "file_no", F.col("new").alias("key"), F.lit("added").alias("change_kind")))
     plain = changes.join(gone, ["feed", "file_no", "key", "change_kind"], "left_anti")
     return plain.select("feed", "file_no", F.col("key").alias("field_name"), F.col("key").alias("new_name"), "change_kind").unionByName(
