@@ -119,7 +119,7 @@ def parsed_lines(lines: DataFrame, *, line_id: str = "line_id", layout: str = "l
 
 def invalid_values(cells: DataFrame, layout: Layout) -> DataFrame:
     """The dictionary of invalid values: (pos, value, other, why), each distinct value judged once."""
-    distinct = cells.groupBy("pos", "value", "other").agg(F.lit(1).alias("_")).drop("_")
+    distinct = cells.groupBy("pos", "value", "other").agg(F.count("*").alias("n"))
     missing = r"(v rlike '^[*]+$' or lower(v) = 'nan')"
     cases, partners = [], {p[0]: p for p in layout.pairs}
     for i, name in enumerate(layout.names):
@@ -131,7 +131,9 @@ def invalid_values(cells: DataFrame, layout: Layout) -> DataFrame:
             _, _, also, why = partners[name]
             cases.append(f"when pos = {i} and {valid} and not coalesce({also}, false) then '{why}'")
         cases.append(f"when pos = {i} and not {valid} then '{rule.why}'")
-    return distinct.withColumnRenamed("value", "v").withColumn("why", F.expr("case " + " ".join(cases) + " end")).filter("why is not null").withColumnRenamed("v", "value")
+    # The count keeps the test above the aggregate: pushed below it, every cell would be judged.
+    judged = distinct.withColumnRenamed("value", "v").withColumn("why", F.expr("if(n > 0, case " + " ".join(cases) + " end, null)"))
+    return judged.filter("why is not null").drop("n").withColumnRenamed("v", "value")
 
 
 def failed_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> DataFrame:
