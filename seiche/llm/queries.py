@@ -130,4 +130,10 @@ r AS (
          count(*) OVER (PARTITION BY ev) c FROM q WHERE ev IS NOT NULL)
 SELECT ev AS event_id, max(row_id) FILTER (n = 1) AS row_id, coalesce(arg_min(row_id, n) FILTER (has), 0) AS autmag_row_id
 FROM r WHERE c > 1 GROUP BY ev""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', ' ', 'g')), '[\p{L}\p{N}]+') w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', ' ', 'g')), '[\p{L}\p{N}]+') w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) i FROM d WHERE len(w) >= 12)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) i FROM e WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
 }
