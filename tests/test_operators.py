@@ -222,3 +222,38 @@ def test_products(spark):
     m = spark.createDataFrame([("A", t, 1.0 + t) for t in range(5)] + [("B", t, 50.0 + t) for t in range(6, 9)] + [("C", 9, 0.0)], "s string, t int, y double")
     joined = products.joined_station(m, ["A", "B", "C"], station="s", t="t", y="y", n=1).collect()
     assert [r.y for r in joined] == [1.0, 2.0, 3.0, 4.0, 5.0, 5.0, 6.0, 7.0, 7.0]
+
+
+def test_running_totals_and_step_sums(spark):
+    rng = random.Random(8)
+    rows = [(k, D0 + dt.timedelta(rng.randrange(6)), rng.choice([None, float("nan"), round(rng.uniform(-5, 5), 2)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, d date, v double")
+    total, want = 0.0, {}
+    for k, d, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        total = round(total + (v if v is not None and v == v else 0.0), 2)
+        want[k] = total
+    assert {r.k: round(r.running, 2) for r in aggregates.running_totals(df, "v", "d", ["k"]).collect()} == want
+    s = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0)], "s string, t double")
+    rules = spark.createDataFrame([("a", 2.0, 10.0), ("a", 3.0, 5.0), ("c", 9.0, 1.0)], "s string, b double, x double")
+    out = {(r.s, r.t): r.total for r in joins.step_sums(s, rules, "t", "b", "x", ["s"], "total").collect()}
+    assert out == {("a", 1.0): 15.0, ("a", 2.0): 5.0, ("a", 3.0): 0.0, ("b", 2.0): 0.0}
+
+
+def test_comparison_and_twins(spark):
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, None, "y"), (3, 2.0, None)], "k int, v double, c string")
+    b = spark.createDataFrame([(1, 1.2, "x"), (2, 1.0, "z"), (3, 2.0, None), (4, 0.0, "q")], "k int, v double, c string")
+    got = {(r.k, r.field) for r in joins.compared(a, b, "k", numbers={"v": 0.1}, exact=["c"]).collect()}
+    assert got == {(1, "v"), (2, "v"), (2, "c"), (4, "key")}
+    rows = spark.createDataFrame([(1, "auto", 5.0, 0), (1, "picks", 7.0, 1), (1, "picks", 8.0, 2), (2, "auto", 6.0, 3)], "e int, s string, v double, p int")
+    out = {r.e: (r.v, r.auto_value, r.n_solutions) for r in joins.resolved_twins(rows, event="e", system="s", reviewed_system="picks", order=[F.col("p")], auto_value="v").collect()}
+    assert out == {1: (7.0, 5.0, 2), 2: (6.0, 6.0, 1)}
+
+
+def test_empty_frames(spark):
+    e = spark.createDataFrame([], "k int, t double, v double, s double, d date, ts timestamp_ntz, lat double, lon double")
+    assert aggregates.bucket_medians(e, "ts", "1 hour", ["v"]).count() == 0
+    assert aggregates.line_rate(e, ["k"], "t", "v", "s").count() == 0
+    assert aggregates.trimmed_mean(e, ["k"], "v", ["t"]).count() == 0
+    assert windows.mad_kept(e, ["k"], "v", 3).count() == 0 and windows.largest_gap(e, ["k"], "ts", "t").count() == 0
+    assert joins.unique_key_join(e.select(F.col("k").alias("a")), e.select(F.col("k").alias("b")), "a", "b").count() == 0
+    assert joins.k_nearest(e.select("k", "lat", "lon"), e.select(F.col("k").alias("s"), "lat", "lon"), 2, point="k", station="s").count() == 0
