@@ -64,6 +64,53 @@ def test_long_series_is_split(spark, monkeypatch):
     assert want.items() <= got.items() and len(got) <= len(want) + 3
 
 
+def uneven():
+    """A series with a noisy and a quiet part, gaps beside the edges of stretches, and a stuck run and repeated rows across one."""
+    rng = np.random.default_rng(7)
+    frame = pd.concat([series(5, 700, name="LONG"), series(6, 90)], ignore_index=True)
+    frame["rec_id"] = np.arange(len(frame))
+    frame.loc[0:119, "y"] += rng.normal(0, 40, 120)
+    frame.loc[0:119, "sigma"] = 30.0
+    frame.loc[110, "sigma"] = 4.0
+    frame.loc[360:479, "y"] = frame.y[360] + rng.normal(0, 0.01, 120)
+    frame.loc[400, "y"] += 0.5  # far only by the quiet part's own scatter
+    frame.loc[237:242, "y"] = frame.y[237]
+    for k in (122, 238, 484):
+        frame.loc[k:699, "t"] += 5.0
+    frame.loc[[121, 483], "y"] += 90.0
+    frame.loc[[200, 481], "y"] = np.nan
+    return pd.concat([frame, frame.loc[[119, 120, 239, 240, 481]].assign(rec_id=range(3000, 3005))], ignore_index=True).sample(frac=1, random_state=3)
+
+
+def test_split_or_not_is_the_same(spark, monkeypatch):
+    flat = series(8, 400, name="FLAT").assign(rec_id=range(5000, 5400), y=3.0)
+    flat.loc[::9, "y"] += np.arange(45)
+    for frame in (planted()[0], uneven(), flat):
+        whole = found(table(spark, frame))
+        for stretch in (120, 7):
+            monkeypatch.setattr(spikes, "STRETCH", stretch)
+            assert found(table(spark, frame)) == whole
+        monkeypatch.undo()
+    assert set(found(table(spark, uneven())).values()) == {"stuck", "spike"}
+
+
+def test_statistics_of_split_series(spark, monkeypatch):
+    seen = []
+    made = spikes._series_statistics
+    monkeypatch.setattr(spikes, "_series_statistics", lambda *a, **k: seen.append(made(*a, **k)) or seen[-1])
+    monkeypatch.setattr(spikes, "STRETCH", 120)
+    frame = uneven()
+    implausible(table(spark, frame))
+    one = frame[(frame.station == "LONG")].sort_values(["t", "rec_id"])
+    first = one.dropna(subset=["y"]).drop_duplicates("t")
+    y = first.y.to_numpy()
+    scatter = np.median(np.abs(np.diff(y))) * spikes.SCATTER_OF_STEP
+    z = np.abs(y - spikes._levels(y, np.zeros(len(y), int), spikes.NEIGHBOURS)[2]) / scatter
+    cutoff = tail_cutoffs(z, np.zeros(len(z), int), 1, risk=1e-6, bounds=spikes.BOUNDS)[0]
+    (got,) = seen[0].collect()
+    np.testing.assert_allclose([got.usual, got.scatter, got.cutoff], [one.drop_duplicates("t").sigma.median(), scatter, cutoff], rtol=1e-9)
+
+
 def test_small_stretches_of_rows(spark):
     frame, want = planted()
     assert {r.rec_id: r.issue for r in implausible(table(spark, frame), rows_at_once=50).collect()} == want
