@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seiche.functions.geo import equirectangular_km
 from seiche.functions.text import event_type
 from seiche.operators.badrows import FPS_FIELDS
+from seiche.operators.joins import band_join, greedy_pairs
+from seiche.session import written
 from seiche.sources.text import Layout, at, clock_seconds, fixed_width, lines, number, words
 
 _HEAD = (("num", 0, 4), ("date", 4, 13))
@@ -94,21 +97,87 @@ def reviewed_spine(fps: DataFrame, lib: DataFrame) -> DataFrame:
     return both.unionByName(by_id).unionByName(rest_f).unionByName(rest_l)
 
 
-def assembled_events(fps: DataFrame, lib: DataFrame, automatic: DataFrame) -> DataFrame:
-    """Reviewed events with the automatic magnitude of the same id, then automatic rows without a reviewed one."""
-    spine = reviewed_spine(fps, lib)
+def _with_lib_mag(spine: DataFrame, mag: DataFrame | None) -> DataFrame:
+    """The spine with the lib.mag record of the same time and position to a thousandth of a degree (m), the first with the first and so on."""
+    if mag is None:
+        return spine.withColumn("m", F.lit(None).cast("struct<latitude:double,longitude:double,depth:double,mlw:double,ml:double,event_type:string>"))
+    keys = ["_t", "_lat", "_lon", "_k"]
+
+    def keyed(df: DataFrame, t: Column, lat: Column, lon: Column, order: list[Column]) -> DataFrame:
+        df = df.withColumns({"_t": t, "_lat": F.rint(lat * 1000), "_lon": F.rint(lon * 1000)})
+        return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys[:3]).orderBy(*order)))
+
+    first = lambda c: F.coalesce(F.col(f"f.{c}"), F.col(f"l.{c}"))
+    left = keyed(spine, first("t"), first("latitude"), first("longitude"), [first("file"), first("line_no")])
+    right = keyed(mag, F.col("t"), F.col("latitude"), F.col("longitude"), [F.col("file"), F.col("line_no")]).select(*[F.col(c).alias(f"{c}m") for c in keys], F.struct(*mag.columns).alias("m"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}m")) for c in keys]
+    return left.join(right, same, "left").select(*spine.columns, "m")
+
+
+def _automatic_solutions(automatic: DataFrame) -> DataFrame:
+    """The best automatic row of each id, and every row without an id (listed again in its file, once)."""
+    keep = F.struct("file", "line_no", "num", "t", "latitude", "longitude", "depth", "ml", "q", "id")
+    named = automatic.filter("id is not null").groupBy("id").agg(F.max_by(keep, F.struct(F.coalesce("q", F.lit(float("-inf"))), "line_no")).alias("a"))
+    unclear = F.when(F.col("num").isNull() | F.col("t").isNull(), F.col("line_no"))
+    nameless = automatic.filter("id is null").groupBy("file", "num", "t", unclear).agg(F.min_by(keep, "line_no").alias("a"))
+    return named.select("a.*").unionByName(nameless.select("a.*"))
+
+
+def _near_pairs(reviewed: DataFrame, auto: DataFrame, within: tuple[float, float], within_no_id: tuple[float, float]) -> DataFrame:
+    """One-to-one pairs r, a by time and place, the smallest dt/seconds + distance/km first; tolerances are inclusive, none of 0 matches."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    left = reviewed.select("r", micros("time").alias("r_us"), F.col("latitude").alias("r_lat"), F.col("longitude").alias("r_lon"), "r_file", "r_line")
+    tolerance = lambda k: F.when(F.col("id").isNotNull(), F.lit(within[k])).otherwise(F.lit(within_no_id[k])).cast("double")
+    right = auto.select("a", micros("t").alias("a_us"), F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lon"), F.col("file").alias("a_file"), F.col("line_no").alias("a_line"), tolerance(0).alias("s"), tolerance(1).alias("km"))
+    right = right.filter("s > 0 and km > 0")
+    edges = band_join(left, right, "r_us", "a_us", max(within[0], within_no_id[0], 1e-6) * 1e6)
+    edges = edges.withColumns({"dt": F.abs(F.col("r_us") - F.col("a_us")) / 1e6, "d": equirectangular_km(F.col("r_lat"), F.col("r_lon"), F.col("a_lat"), F.col("a_lon"))}).filter("dt <= s and d <= km")
+    return greedy_pairs(edges, "r", "a", [F.col("dt") / F.col("s") + F.col("d") / F.col("km"), *[F.col(c) for c in ("r_us", "r_file", "r_line", "a_file", "a_line")]])
+
+
+def assembled_events(
+    fps: DataFrame, lib: DataFrame, automatic: DataFrame, *, mag: DataFrame | None = None, second: DataFrame | None = None, within: tuple[float, float] = (2.0, 10.0), within_no_id: tuple[float, float] = (5.0, 25.0)
+) -> DataFrame:
+    """Reviewed events with the magnitude of their automatic solution, then the automatic solutions of no reviewed event.
+
+    ``mag`` are the lib.mag records. An automatic solution belongs to the first reviewed event of
+    its id; what is left is matched one to one within seconds and km (``within_no_id`` for rows
+    without an id), over folders of days, as an event may lie beside midnight. ``second`` is the
+    other automatic file: it serves folders without a row of the first, and reviewed events that
+    are still without a solution, by id.
+    """
+    spine = _with_lib_mag(reviewed_spine(fps, lib), mag)
     first = lambda c: F.coalesce(F.col(f"f.{c}"), F.col(f"l.{c}"))
+    place = lambda c: F.coalesce(first(c), F.col(f"m.{c}"))
     reviewed = spine.select(
-        first("t").alias("time"), "id", first("latitude").alias("latitude"), first("longitude").alias("longitude"), F.coalesce("f.depth", "l.depth").alias("depth_km"), F.coalesce("l.mlw", "f.mlw").alias("mag_mlw"),
-        F.col("f.moment").alias("moment_nm"), F.coalesce("l.event_type", "f.event_type").alias("event_type_code"), F.lit("manual").alias("evaluation_mode"), F.lit(None).cast("double").alias("quality"),
+        F.monotonically_increasing_id().alias("r"), first("file").alias("r_file"), first("line_no").alias("r_line"),
+        first("t").alias("time"), "id", place("latitude").alias("latitude"), place("longitude").alias("longitude"), place("depth").alias("depth_km"), F.coalesce("m.mlw", "l.mlw", "f.mlw").alias("mag_mlw"), F.col("m.ml").alias("mag_ml"),
+        F.col("f.moment").alias("moment_nm"), F.coalesce("m.event_type", "l.event_type", "f.event_type").alias("event_type_code"), F.lit("manual").alias("evaluation_mode"), F.lit(None).cast("double").alias("quality"),
     )
-    auto = automatic.groupBy("id").agg(F.max_by(F.struct("t", "latitude", "longitude", "depth", "ml", "q"), F.struct(F.coalesce("q", F.lit(float("-inf"))), "line_no")).alias("a"))
-    reviewed = reviewed.join(auto.select("id", F.col("a.ml").alias("mag_auto")), "id", "left")
-    alone = auto.join(reviewed.select("id"), "id", "left_anti").select(
-        F.col("a.t").alias("time"), "id", "a.latitude", "a.longitude", F.col("a.depth").alias("depth_km"), F.col("a.ml").alias("mag_auto"), F.lit("automatic").alias("evaluation_mode"), F.col("a.q").alias("quality")
+    # Written, as the numbers of the rows must stay.
+    reviewed = written(reviewed, "reviewed-events")
+    if second is not None:
+        folder = F.regexp_replace("file", "[^/]+$", "")
+        others = second.withColumn("_folder", folder).join(automatic.select(folder.alias("_folder")).distinct(), "_folder", "left_anti").drop("_folder")
+        automatic = automatic.unionByName(others, allowMissingColumns=True)
+    auto = written(_automatic_solutions(automatic).withColumn("a", F.monotonically_increasing_id()), "automatic-solutions")
+
+    one = reviewed.filter("id is not null").groupBy("id").agg(F.min(F.struct("time", "r_file", "r_line", "r")).getField("r").alias("r"))
+    pairs = written(one.join(auto.select("id", "a"), "id").select("r", "a"), "automatic-by-id")
+    pairs = pairs.unionByName(_near_pairs(reviewed.join(pairs, "r", "left_anti"), auto.join(pairs, "a", "left_anti"), within, within_no_id))
+    reviewed = reviewed.join(pairs.join(auto.select("a", F.col("ml").alias("mag_auto")), "a"), "r", "left")
+    if second is not None:
+        by_id = _automatic_solutions(second).filter("id is not null").select("id", F.col("ml").alias("_ml"))
+        reviewed = reviewed.join(by_id, "id", "left").withColumn("mag_auto", F.when(F.col("a").isNull(), F.col("_ml")).otherwise(F.col("mag_auto"))).drop("_ml")
+    # Rows without an id are named by their folder and number.
+    day = F.regexp_extract("file", r"(/\d{4}/[A-Za-z]{3}/\d{1,2}|/[^/]*)/[^/]*$", 1)
+    name = F.coalesce("id", F.concat(day, F.lit("/aut.mag#"), F.coalesce(F.col("num").cast("long"), F.col("line_no").cast("long")).cast("string")))
+    alone = auto.join(pairs, "a", "left_anti").select(
+        F.col("t").alias("time"), name.alias("id"), "latitude", "longitude", F.col("depth").alias("depth_km"), F.col("ml").alias("mag_auto"), F.lit("automatic").alias("evaluation_mode"), F.col("q").alias("quality")
     )
-    out = reviewed.unionByName(alone, allowMissingColumns=True)
-    magnitude, kind = F.coalesce("mag_mlw", "mag_auto"), F.when(F.col("mag_mlw").isNotNull(), "Mlw").when(F.col("mag_auto").isNotNull(), "aut.mag")
+    out = reviewed.drop("r", "a", "r_file", "r_line").unionByName(alone, allowMissingColumns=True)
+    magnitude = F.coalesce("mag_mlw", "mag_ml", "mag_auto")
+    kind = F.when(F.col("mag_mlw").isNotNull(), "Mlw").when(F.col("mag_ml").isNotNull(), "ML").when(F.col("mag_auto").isNotNull(), "aut.mag")
     return out.select("*", magnitude.alias("magnitude"), kind.alias("magnitude_type"), event_type(F.col("event_type_code")).alias("event_type"), F.lit("sil-files").alias("source")).withColumnRenamed("id", "event_id")
 
 

@@ -63,6 +63,47 @@ def test_archive_assembly(spark, tmp_path):
     assert out["/d"].evaluation_mode == "automatic" and out["/d"].magnitude_type == "aut.mag" and out["/c"].moment_nm is None
 
 
+def test_assembly_without_ids(spark, tmp_path):
+    day = tmp_path / "1995/jun/15"
+    fps = archive.fault_planes(spark, put(tmp_path / "none/events.fps", FPS.replace("20260922", "19900101") + "\n"))[0].filter("id = 'none'")
+    lay = {x.name: x for x in archive.LAYOUTS["aut.mag"]}
+    lib_lay, mag_lay = archive.LAYOUTS["events.lib"][0], archive.LAYOUTS["lib.mag"][0]
+    quake = [("000010.000", "64.000", "1.0", "/p"), ("000014.000", "64.000", "", "/q"), ("010000.000", "64.000", "1.5", "/r"), ("020000.000", "64.000", "1.6", "/s"), ("235959.000", "64.000", "1.7", "/t")]
+    put(day / "events.lib", "\n".join(fixed(lib_lay, num=k, date=19950615, time=t, latitude=y, longitude="-21.000", mlw=m, event_type="qu", id=i) for k, (t, y, m, i) in enumerate(quake)))
+    # Two records of one time and place are told apart by their order, and a position that differs joins nothing.
+    put(day / "lib.mag", "\n".join(fixed(mag_lay, num=k, date=19950615, time=t, latitude=y, longitude="-21.000", ml=m) for k, (t, y, m) in enumerate([("000014.000", "64.000", "2.2"), ("000014.000", "64.000", "9.9"), ("010000.000", "64.002", "8.8")])))
+    rows = [("000011.0", "64.00", "0.1"), ("000018.9", "64.20", "0.2"), ("000015.0", "64.00", "0.3"), ("010005.0", "64.00", "0.4"), ("020005.1", "64.00", "0.5"), ("030000.0", "64.00", "0.6"), ("030000.0", "65.00", "0.7")]
+    body = [fixed(lay["aut57"], num=k, date=19950615, time=t, latitude=y, longitude="-21.0", ml=m) for k, (t, y, m) in enumerate(rows)]
+    body += [body[-1], fixed(lay["aut61"], num=20, date=19950615, time="040000.0", latitude="64.0", longitude="-21.0", ml="0.8"), fixed(lay["aut117"], num=21, date=19950615, time="050000.0", latitude="64.0", longitude="-21.0")]
+    put(day / "aut.mag", "\n".join(body))
+    put(tmp_path / "1995/jun/16/aut.mag", fixed(lay["aut89"], num=1, date=19950616, time="000001.0", latitude="64.0", longitude="-21.0", ml="0.9", id="/other"))
+    read = lambda kind: archive.day_file(spark, str(tmp_path), kind)[0]
+    lib, aut, mag = read("events.lib"), read("aut.mag"), read("lib.mag")
+    out = archive.assembled_events(fps, lib, aut, mag=mag).collect()
+    reviewed = {r.event_id: (r.magnitude, r.magnitude_type, r.mag_auto) for r in out if r.evaluation_mode == "manual"}
+    # 0.1 lies nearest to /p, 0.3 to /q; 0.4 is 5.0 s and 0.9 with its id 2.0 s away, inclusive; 0.5 is too late.
+    assert reviewed == {"/p": (1.0, "Mlw", 0.1), "/q": (2.2, "ML", 0.3), "/r": (1.5, "Mlw", 0.4), "/s": (1.6, "Mlw", None), "/t": (1.7, "Mlw", 0.9)}
+    alone = sorted((r.event_id, r.mag_auto) for r in out if r.evaluation_mode == "automatic")
+    name = "/1995/jun/15/aut.mag#"
+    assert alone == sorted([(f"{name}1", 0.2), (f"{name}4", 0.5), (f"{name}5", 0.6), (f"{name}6", 0.7), (f"{name}20", 0.8), (f"{name}21", None)])
+    off = archive.assembled_events(fps, lib, aut, within=(0, 0), within_no_id=(0, 0)).collect()
+    assert len(off) == 5 + 10 and not any(r.mag_auto for r in off if r.evaluation_mode == "manual")
+
+
+def test_assembly_second_file(spark, tmp_path):
+    lib_lay, lay = archive.LAYOUTS["events.lib"][0], archive.LAYOUTS["aut.mag"][0]
+    event = lambda lay, i, t, day=22, **v: fixed(lay, num=1, date=f"202609{day}", time=t, latitude="64.0", longitude="-21.0", id=i, **v)
+    put(tmp_path / "22/events.lib", "\n".join([event(lib_lay, "/a", "001643.0", mlw="1.0"), event(lib_lay, "/b", "011643.0", mlw="1.1"), event(lib_lay, "/b", "051643.0", mlw="1.2")]))
+    put(tmp_path / "22/cleanaut.mag", event(lay, "/b", "011643.0", ml="0.2"))
+    put(tmp_path / "22/aut.mag", "\n".join([event(lay, "/a", "003000.0", ml="0.1"), event(lay, "/x", "031643.0", ml="0.4")]))
+    put(tmp_path / "23/aut.mag", event(lay, "/y", "001643.0", day=23, ml="0.5"))
+    fps = archive.fault_planes(spark, put(tmp_path / "none/events.fps", FPS + "\n"))[0].filter("id = 'none'")
+    read = lambda kind: archive.day_file(spark, str(tmp_path), kind)[0]
+    out = archive.assembled_events(fps, read("events.lib"), read("cleanaut.mag"), second=read("aut.mag")).collect()
+    # An id serves one reviewed event; a folder without the first file is served by the second.
+    assert sorted((r.event_id, r.mag_mlw or 0.0, r.mag_auto or 0.0) for r in out) == [("/a", 1.0, 0.1), ("/b", 1.1, 0.2), ("/b", 1.2, 0.0), ("/y", 0.0, 0.5)]
+
+
 def test_partitioned_days(spark, tmp_path):
     e = spark.createDataFrame([(dt.datetime(2024, 1, d, 12), d) for d in range(1, 6)], "time timestamp_ntz, k int")
     archive.written_by_day(e, str(tmp_path / "c"))
