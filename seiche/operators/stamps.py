@@ -2,8 +2,8 @@
 
 Every notation is taken apart by one pattern into date, clock, half of day and zone; the parts are
 checked as a calendar would and put together as integers, so precision is never lost to a double.
-Stamps without a zone get the offset history that ``zone_evidence`` finds to violate the order of
-ingestion least, or the stated default.
+Stamps without a zone get the stated default or, where ``instants`` is given the offset history that
+``zone_evidence`` finds to violate the order of ingestion least, the zone of their source and time.
 
 Defined results: null, blank and unreadable texts, dates and clock readings that do not exist and
 local times skipped by a change of clocks have no instant; a local time that occurs twice is its
@@ -173,23 +173,45 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def instants(stamps: DataFrame, *, zone: str = "zone_name", default_zone: str = "UTC", out: str = "utc_us", **columns: str) -> DataFrame:
+def _usable(spark: SparkSession, name: Column) -> Column:
+    return name.isin(*known_zones(spark)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
+
+
+def observed_zones(stamps: DataFrame, *, zone: str = "zone_name") -> list[str]:
+    """The known zone names that the stamps give (a few hundred at most, whatever the data)."""
+    name = F.trim(F.col(zone))
+    return sorted(r[0] for r in stamps.select(name).filter(name.isin(*known_zones(stamps.sparkSession))).distinct().collect())
+
+
+def instants(
+    stamps: DataFrame, *, zone: str = "zone_name", default_zone: str = "UTC", out: str = "utc_us", zones: DataFrame | None = None, source: str = "field_name", received: str = "received_at", **columns: str
+) -> DataFrame:
     """The rows with ``utc_us``, the instant in microseconds, null where the stamp denotes none.
 
-    An offset or abbreviation in the text decides, else the zone column, else ``default_zone``.
+    An offset or abbreviation in the text decides, else the zone column, else the zone that
+    ``zones`` (source, zone, and since and until of the time of ingestion, open where null) has for
+    the stamp, else ``default_zone``. Intervals of one source must not overlap.
     """
-    rows = parsed_stamps(stamps, **columns)
+    spark, rows, default = stamps.sparkSession, parsed_stamps(stamps, **columns), F.lit(default_zone)
+    if zones is not None:
+        bound = lambda c: (F.col(c) if c in zones.columns else F.lit(None)).cast("timestamp_ntz").alias(f"_{c}")
+        history = zones.select(F.col("source").alias("_source"), F.col("zone").alias("_est"), bound("since"), bound("until"))
+        came = _of(stamps, received)
+        within = (F.col("_since").isNull() | (F.col("_since") <= came)) & (F.col("_until").isNull() | (came < F.col("_until")))
+        rows = rows.join(history, _of(stamps, source).eqNullSafe(F.col("_source")) & within, "left")
+        default = F.when(_usable(spark, F.col("_est")), F.col("_est")).otherwise(default)
     name = F.trim(_of(stamps, zone))
-    usable = name.isin(*known_zones(stamps.sparkSession)) | name.rlike(r"^[+-](0\d|1[0-7]):[0-5]\d$")
-    rows = _with_zoned(rows, "local_s", F.when(usable, name).otherwise(F.lit(default_zone)), "zoned_s")
+    rows = _with_zoned(rows, "local_s", F.when(_usable(spark, name), name).otherwise(default), "zoned_s")
     value = F.expr("coalesce(number_us, (if(offset_s is not null, local_s - offset_s, zoned_s) + if(leap, 60, 0)) * 1000000 + micros)")
     kept = [_of(stamps, c).alias(c) for c in stamps.columns if c.lower() != out.lower()]
     return _stage(rows, {"_value": value.cast("long")}).select(*kept, F.col("_value").alias(out))
 
 
-def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "field_name", received: str = "received_at", zone: str = "zone_name", **columns: str) -> DataFrame:
+def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "field_name", received: str = "received_at", zone: str = "zone_name", period: str | None = None, **columns: str) -> DataFrame:
     """Per source and candidate zone: zone-less stamps, violations and the median lag to ingestion.
 
+    With a ``period`` (as of date_trunc) also per period of ingestion: since.
+
     A stamp read in the wrong zone may lie after its own ingestion or fall into a skipped hour:
     both are violations. ``rank`` 1 is the offset history with the fewest, the shortest lag
     breaking ties. One row a source, candidate and map task is shuffled.
@@ -202,16 +224,22 @@ def zone_evidence(stamps: DataFrame, candidates: list[str], *, source: str = "fi
     for i, name in enumerate(candidates):
         rows = _with_zoned(rows, "local_s", F.lit(name), f"zone_{i}")
         lags.append(F.struct(F.lit(name).alias("zone"), (F.col("known") - F.col(f"zone_{i}")).alias("lag_s")))
-    long = rows.select(_of(stamps, source).alias("source"), F.explode(F.array(*lags)).alias("t")).select("source", "t.*")
-    scored = long.groupBy("source", "zone").agg(
+    group = {"source": _of(stamps, source)} | ({"since": F.date_trunc(period, came).cast("timestamp_ntz")} if period else {})
+    long = rows.select(*[c.alias(n) for n, c in group.items()], F.explode(F.array(*lags)).alias("t")).select(*group, "t.*")
+    scored = long.groupBy(*group, "zone").agg(
         F.count("*").alias("n_stamps"),
         F.count_if(F.col("lag_s").isNull() | (F.col("lag_s") < 0)).alias("n_violations"),
         F.percentile_approx("lag_s", 0.5, 1000).alias("median_lag_s"),
     )
-    order = W.partitionBy("source").orderBy("n_violations", F.abs("median_lag_s"), "zone")
+    order = W.partitionBy(*group).orderBy("n_violations", F.abs("median_lag_s"), "zone")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
 def offset_history(evidence: DataFrame) -> DataFrame:
-    """The chosen zone of each source: source, zone."""
-    return evidence.filter("rank = 1").select("source", "zone")
+    """The chosen zone of each source: source, zone; of evidence by period also since and until, without gaps, open at both ends."""
+    best = evidence.filter("rank = 1")
+    if "since" not in evidence.columns:
+        return best.select("source", "zone")
+    w = W.partitionBy("source").orderBy("since")
+    best = best.filter("since is not null").withColumns({"until": F.lead("since").over(w), "since": F.when(F.row_number().over(w) > 1, F.col("since"))})
+    return best.select("source", "zone", "since", "until")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seiche.operators.badrows import failed_lines, loaded_lines, reconciled_counts
 from seiche.operators.drift import schema_changes, unified_features
 from seiche.operators.spikes import implausible
-from seiche.operators.stamps import instants, zone_evidence
+from seiche.operators.stamps import instants, observed_zones, offset_history, zone_evidence
 from seiche.streaming.once import message_identity, repeated_deliveries
 
 
@@ -46,10 +46,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants(read(spark, sf_dir, "raw_stamps")).filter("utc_us is not null").select("stamp_id", "utc_us")
 
 
+def _candidates(stamps: DataFrame) -> list[str]:
+    zones = ["UTC", "Europe/Lisbon", "Europe/Berlin", "Europe/Helsinki", "America/New_York", "America/Chicago", "Asia/Kathmandu"]
+    return list(dict.fromkeys([*zones, *observed_zones(stamps)]))
+
+
 def p5_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence for the offset history of stamps without a zone, by kind of stamp."""
-    zones = ["UTC", "Europe/Lisbon", "Europe/Berlin", "Europe/Helsinki", "America/New_York", "America/Chicago", "Asia/Kathmandu"]
-    return zone_evidence(read(spark, sf_dir, "raw_stamps"), zones)
+    stamps = read(spark, sf_dir, "raw_stamps")
+    return zone_evidence(stamps, _candidates(stamps))
+
+
+def p5_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stamps, those without a zone converted by the offset history estimated by quarter of ingestion."""
+    stamps = read(spark, sf_dir, "raw_stamps")
+    zones = offset_history(zone_evidence(stamps, _candidates(stamps), period="quarter"))
+    return instants(stamps, zones=zones).filter("utc_us is not null").select("stamp_id", "utc_us")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +69,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("delivery_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p3_loaded, p3_totals, p5_found, p5_zones, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p3_found, p3_loaded, p3_totals, p5_found, p5_zones, p5_estimated, p7_found)}
 
 SQL: dict[str, str] = {
     "p7_found": """

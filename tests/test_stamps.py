@@ -4,7 +4,7 @@ import datetime as dt
 import random
 from zoneinfo import ZoneInfo
 
-from seiche.operators.stamps import instants, offset_history, zone_evidence
+from seiche.operators.stamps import instants, observed_zones, offset_history, zone_evidence
 
 SCHEMA = "stamp_id long, field_name string, raw_text string, zone_name string, received_at timestamp_ntz, micros int, row string"
 UTC = dt.timezone.utc
@@ -72,5 +72,23 @@ def test_zone_is_found_from_ingestion(spark):
     assert [tuple(r) for r in offset_history(evidence).collect()] == [("s", "Asia/Kathmandu")]
 
 
+def test_estimated_zones_convert(spark):
+    rows, want = [], {}
+    for k in range(80):
+        t = dt.datetime(2024, 2, 1, tzinfo=UTC) + dt.timedelta(hours=48 * k)
+        zone = "Asia/Kathmandu" if t < dt.datetime(2024, 4, 1, tzinfo=UTC) else "America/Chicago"
+        rows.append((k, "s", t.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), None, t.replace(tzinfo=None) + dt.timedelta(seconds=30), 7, "clash"))
+        want[k] = us(t)
+    rows += [(100, "s", "2024-02-01 12:00:00", " Asia/Kathmandu ", None, 7, "x"), (101, "s", "2024-02-01 12:00:00", "America/Chicago", None, 7, "x"), (102, "other", "2024-02-01 12:00:00", "No/Zone", dt.datetime(2024, 2, 1, 13), 7, "x")]
+    want |= {100: us(dt.datetime(2024, 2, 1, 6, 15)), 101: us(dt.datetime(2024, 2, 1, 18)), 102: us(dt.datetime(2024, 2, 1, 12))}
+    stamps = spark.createDataFrame(rows, SCHEMA)
+    assert observed_zones(stamps) == ["America/Chicago", "Asia/Kathmandu"]
+    history = offset_history(zone_evidence(stamps, ["UTC", *observed_zones(stamps)], period="quarter"))
+    got = {r.stamp_id: r.utc_us for r in instants(stamps, zones=history).collect()}
+    assert got == want
+    fixed = spark.createDataFrame([("s", "Asia/Kathmandu")], "source string, zone string")
+    assert {r.stamp_id: r.utc_us for r in instants(stamps, zones=fixed).collect()}[0] == want[0]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
