@@ -442,6 +442,19 @@ def j19_baseline(spark, d):
     return ends.select("d", F.round(windows.rezeroed(F.col("v1") - F.col("v2"), ["k"], ["d"]), 6).alias("v"))
 
 
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) d, avg(value) v FROM events GROUP BY 1, 2),
+j AS (SELECT a.user_id, a.d, a.v - b.v v FROM s a JOIN s b ON a.d = b.d AND b.user_id = (SELECT min(user_id) FROM events) AND a.user_id <> b.user_id)
+SELECT user_id, d, round(v - first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS v FROM j""")
+def j19_baseline_all(spark, d):
+    """The baselines of every user against the first."""
+    s = read(spark, d, "events").filter("user_id is not null").groupBy("user_id", F.col("ts").cast("date").alias("d")).agg(F.avg("value").alias("v"))
+    reference = s.groupBy("d").agg(F.min_by(F.struct("user_id", "v"), "user_id").alias("r"))
+    first = s.agg(F.min("user_id").alias("user"))
+    reference = reference.join(first, F.col("r.user_id") == F.col("user")).select("d", "user", F.col("r.v").alias("v_ref"))
+    ends = s.join(reference, "d").filter("user_id <> user")
+    return ends.select("user_id", "d", F.round(windows.rezeroed(F.col("v") - F.col("v_ref"), ["user_id"], ["d"]), 6).alias("v"))
+
+
 @query(f"""WITH s AS (SELECT s_suppkey, {_SPLACED} FROM supplier)
 SELECT a, b, round(km, 6) AS km FROM (SELECT x.s_suppkey a, y.s_suppkey b, sqrt(pow((y.lat - x.lat) * 111.19, 2) + pow((y.lon - x.lon) * 111.19 * cos(radians((x.lat + y.lat) / 2)), 2)) km
 FROM s x JOIN s y ON x.s_suppkey < y.s_suppkey) WHERE km <= 1500""")
@@ -806,6 +819,16 @@ def st07_upsert(spark, d):
     return upserted(old, new, ["o_orderkey"], ["v"]).select("o_orderkey", "source")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN 'new' ELSE 'old' END AS source FROM orders""")
+def st07_upsert_all(spark, d):
+    """Every order: a third old only, a third new only, a third in both."""
+    from seiche.streaming.series import upserted
+
+    o = read(spark, d, "orders").select("o_orderkey", F.lit(1).alias("v"))
+    old, new = o.filter("o_orderkey % 3 in (0, 1)").withColumn("source", F.lit("old")), o.filter("o_orderkey % 3 in (0, 2)").withColumn("source", F.lit("new"))
+    return upserted(old, new, ["o_orderkey"], ["v"]).select("o_orderkey", "source")
+
+
 @query("""SELECT event_id, max_by(row_id, struct_pack(m := evaluation_mode = 'manual', l := loaded_at, r := row_id)) AS row_id FROM sil_events GROUP BY 1""")
 def st04_reviewed_over_automatic(spark, d):
     from seiche.streaming.series import reviewed_over_automatic

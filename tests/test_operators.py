@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seiche import catalogue
 from seiche.functions.geo import equirectangular_km  # noqa: F401
 from seiche.models.trajectory import detrended, fitted
 from seiche.operators import aggregates, joins, predicates, schema, windows
@@ -249,6 +250,16 @@ def test_comparison_and_twins(spark):
     assert out == {1: (7.0, 5.0, 2), 2: (6.0, 6.0, 1)}
 
 
+def test_upsert_and_baseline_meet_every_key(spark, tmp_path):
+    spark.range(1, 31).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.source for r in catalogue.QUERIES["st07_upsert_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: "old" if k % 3 == 1 else "new" for k in range(1, 31)}
+    rows = [(u, f"2024-01-0{d} 0{h}:00:00", float(u * d * d + h)) for u in (1, 2, 3, 4, 5) for d in (1, 2, 3) for h in (1, 2) if (u, d) != (1, 3)]
+    spark.createDataFrame(rows, "user_id int, ts string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = {(r.user_id, str(r.d)): r.v for r in catalogue.QUERIES["j19_baseline_all"](spark, str(tmp_path)).collect()}
+    assert out == {(u, f"2024-01-0{d}"): (u - 1) * (d * d - 1.0) for u in (2, 3, 4, 5) for d in (1, 2)}
+
+
 def test_empty_frames(spark):
     e = spark.createDataFrame([], "k int, t double, v double, s double, d date, ts timestamp_ntz, lat double, lon double")
     assert aggregates.bucket_medians(e, "ts", "1 hour", ["v"]).count() == 0
