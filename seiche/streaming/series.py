@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seiche.session import shared_dir
+from seiche.session import shared_dir, written
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -30,16 +30,24 @@ def run_to_now(stream: DataFrame, mode: str = "update", checkpoint: str | None =
     return spark.read.parquet(out)
 
 
-def streamed_bucket_medians(spark: SparkSession, path: str, time: str, width: str, value: str, lateness: str = "2 days") -> DataFrame:
+def streamed_bucket_medians(spark: SparkSession, path: str, time: str, width: str, value: str, lateness: str = "2 days", files_per_batch: int = 1000) -> DataFrame:
     """bucket, value (median), n of tumbling windows, kept up to date as files arrive.
 
-    A bucket is written again by every batch that adds to it; the last one counts.
+    A bucket is written again by every batch that adds to it; the last one counts. Rows later than
+    ``lateness`` are dropped by the stream: buckets that hold fewer rows than the source has for
+    them are computed again from the source.
     """
-    rows = stream_of(spark, path).withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", lateness)
-    buckets = rows.groupBy(F.window("_t", width)).agg(F.median(F.when(~F.isnan(value), F.col(value))).alias("value"), F.count("*").alias("n"))
+    median = F.median(F.when(~F.isnan(value), F.col(value))).alias("value")
+    timed = lambda rows: rows.withColumn("_t", F.col(time).cast("timestamp"))
+    buckets = timed(stream_of(spark, path, files_per_batch)).withWatermark("_t", lateness).groupBy(F.window("_t", width)).agg(median, F.count("*").alias("n"))
     out = run_to_now(buckets.select(F.col("window.start").alias("bucket"), "value", "n"))
-    last = out.groupBy("bucket").agg(F.max(F.struct("batch", "value", "n")).alias("l"))
-    return last.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "l.value", "l.n")
+    last = out.groupBy("bucket").agg(F.max(F.struct("batch", "value", "n")).alias("l")).select("bucket", "l.value", "l.n")
+    source = timed(spark.read.parquet(path)).withColumn("bucket", F.window("_t", width)["start"])
+    counted = source.groupBy("bucket").agg(F.count("*").alias("n_all"))
+    short = written(counted.join(last, "bucket", "left").filter("n is null or n < n_all").select("bucket"), "late-buckets")
+    again = source.join(short, "bucket", "left_semi").groupBy("bucket").agg(median, F.count("*").alias("n"))
+    whole = last.join(short, "bucket", "left_anti").unionByName(again)
+    return whole.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "value", "n")
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame:

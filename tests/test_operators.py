@@ -12,7 +12,7 @@ from seiche.models.trajectory import detrended, fitted
 from seiche.operators import aggregates, joins, predicates, schema, windows
 from seiche.plans import grammar
 from seiche.plans.catalogue import Catalogue, catalogue_for, seam_windows
-from seiche.streaming.series import reviewed_over_automatic, upserted
+from seiche.streaming.series import reviewed_over_automatic, streamed_bucket_medians, upserted
 
 D0 = dt.date(2024, 1, 1)
 
@@ -260,6 +260,14 @@ def test_upsert_and_baseline_meet_every_key(spark, tmp_path):
     assert out == {(u, f"2024-01-0{d}"): (u - 1) * (d * d - 1.0) for u in (2, 3, 4, 5) for d in (1, 2)}
 
 
+def test_late_rows_reach_their_buckets(spark, tmp_path):
+    files = [[("2024-03-20 00:01:00", 1.0), ("2024-03-01 00:01:00", 2.0)], [("2024-03-20 00:02:00", 3.0)], [("2024-03-01 00:02:00", 6.0), ("2024-02-01 00:00:00", 5.0)]]
+    for rows in files:
+        spark.createDataFrame(rows, "ts string, v double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    got = {str(r.bucket): (r.value, r.n) for r in streamed_bucket_medians(spark, str(tmp_path / "events"), "ts", "10 minutes", "v", files_per_batch=1).collect()}
+    assert got == {"2024-03-20 00:00:00": (2.0, 2), "2024-03-01 00:00:00": (4.0, 2), "2024-02-01 00:00:00": (5.0, 1)}
+
+
 def test_empty_frames(spark):
     e = spark.createDataFrame([], "k int, t double, v double, s double, d date, ts timestamp_ntz, lat double, lon double")
     assert aggregates.bucket_medians(e, "ts", "1 hour", ["v"]).count() == 0
