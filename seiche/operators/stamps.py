@@ -154,7 +154,8 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
             "_size": F.abs(_int(F.regexp_extract("_s", number, 1))),
             "_frac": _apart(F.array(F.regexp_extract("_s", number, 2))),
             "_sec": _int(F.regexp_extract("_s", epoch, 3)),
-            "_part": F.when(F.col("_s").rlike(share) & (F.col("_y") > 0), F.concat(F.lit("0."), F.rpad(F.substring(F.regexp_extract("_s", share, 2), 1, 18), 1, "0"))).try_cast("decimal(20,18)"),
+            # The zero keeps a year without a share readable.
+            "_part": F.when(F.col("_s").rlike(share) & (F.col("_y") > 0), F.concat(F.lit("0."), F.substring(F.regexp_extract("_s", share, 2), 1, 18), F.lit("0"))).try_cast("decimal(20,18)"),
         }
     )
     rows = _stage(rows, {"_places": F.expr("case when _size < 100000000000 then 6 when _size < 100000000000000 then 3 else 0 end")})

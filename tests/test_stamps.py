@@ -92,3 +92,23 @@ def test_estimated_zones_convert(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_random_shares_and_epochs(spark):
+    from fractions import Fraction
+
+    rng = random.Random(11)
+    rows, want = [], []
+    for _ in range(300):
+        year = rng.choice([1999, 2000, 2016, 2017, 2023, 2024, 2100])
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 18)))
+        length = (dt.datetime(year + 1, 1, 1) - dt.datetime(year, 1, 1)).total_seconds()
+        exact = Fraction(int(digits), 10 ** len(digits)) * int(length)
+        rows.append(("t", f"{year}{rng.choice('.,')}{digits}", None))
+        want.append(us(dt.datetime(year, 1, 1) + dt.timedelta(seconds=int(exact + Fraction(1, 2)))))
+        day, second = rng.randint(1, 365), rng.randint(0, 86400)
+        rows.append(("ref_epoch", f"{year % 100 if year < 2051 else year:02d}:{day:03d}:{second:05d}", None))
+        want.append(us(dt.datetime(year, 1, 1) + dt.timedelta(days=day - 1, seconds=second)))
+    rows += [("t", "2017.6917808219", None), ("t", "2020,6917808219", None)]
+    want += [us(dt.datetime(2017, 9, 10, 12)), us(dt.datetime(2020, 1, 1) + dt.timedelta(seconds=round(0.6917808219 * 366 * 86400)))]
+    assert run(spark, rows) == want
