@@ -508,6 +508,15 @@ def j08_twins(spark, d):
     return out.select("event", "row_id", F.round("auto_value", 6).alias("auto_value"), "n_solutions")
 
 
+@query("""WITH q AS (SELECT row_id, CAST(regexp_extract(upper(trim(event_id)), '^(SIL)?0*([0-9]+)$', 2) AS BIGINT) ev, CASE WHEN lower(trim(originating_system)) = 'sil picks' THEN 'picks' ELSE 'auto' END s,
+CASE WHEN NOT isnan(depth_km) THEN depth_km END AS depth_km FROM skjalftalisa_quakes),
+o AS (SELECT *, row_number() OVER (PARTITION BY ev, s ORDER BY row_id) r FROM q), k AS (SELECT * FROM o WHERE r = 1)
+SELECT ev AS event, coalesce(max(row_id) FILTER (s = 'picks'), max(row_id) FILTER (s = 'auto')) AS row_id, round(max(depth_km) FILTER (s = 'auto'), 6) AS auto_value, count(*) AS n_solutions FROM k GROUP BY ev""")
+def j08_twins_missing(spark, d):
+    """As j08_twins, with NaN as a missing value in the SQL too."""
+    return j08_twins(spark, d)
+
+
 @query("""SELECT 'orders' AS source, o_orderkey AS k, o_orderdate AS at FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'
 UNION ALL SELECT 'lineitem', l_orderkey, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'""")
 def u01_seam_union(spark, d):

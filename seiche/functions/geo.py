@@ -21,7 +21,7 @@ def number(c: Column | str) -> Column:
 
 
 def equirectangular_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    """Distance with the longitude scaled at the middle latitude."""
+    """Distance with the longitude scaled at the middle latitude; no wrap at the date line (see ``lon_difference``)."""
     dy = (lat_b - lat_a) * KM_PER_DEGREE
     dx = (lon_b - lon_a) * KM_PER_DEGREE * F.cos(F.radians((lat_a + lat_b) / 2))
     return F.hypot(dx, dy)
@@ -78,6 +78,11 @@ def geodesic_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, roun
     return F.when(usable, let(given, folded))
 
 
+def lon_difference(lon_a: Column, lon_b: Column) -> Column:
+    """The shorter way from a to b, in [-180, 180)."""
+    return F.pmod(lon_b - lon_a + 180, F.lit(360.0)) - 180
+
+
 def in_box(lon: Column, lat: Column, west: float, east: float, south: float, north: float) -> Column:
     """Inclusive on all sides; null and NaN are outside."""
     return F.coalesce(number(lon).between(west, east) & number(lat).between(south, north), F.lit(False))
@@ -113,9 +118,21 @@ def box_around(lon: float, lat: float, km: float, margin: float = 0.01) -> tuple
 
 
 def within_km(lon: Column, lat: Column, at_lon: float, at_lat: float, km: float, least_km: float = 0.0) -> Column:
-    """Inclusive ring around a point: a box that reaches the scan, then the ellipsoidal distance."""
+    """Inclusive ring around a point: a box that reaches the scan, then the ellipsoidal distance.
+
+    A circle over the date line has a box on either side of it, one over a pole all longitudes.
+    """
     d = geodesic_km(number(lat), number(lon), F.lit(at_lat), F.lit(at_lon))
-    return in_box(lon, lat, *box_around(at_lon, at_lat, km)) & (d <= km) & (d >= least_km)
+    west, east, south, north = box_around(at_lon, at_lat, km)
+    if south < -90 or north > 90 or east - west >= 360:
+        boxes = in_box(lon, lat, -360.0, 360.0, south, north)
+    else:
+        boxes = in_box(lon, lat, west, east, south, north)
+        if west < -180:
+            boxes = boxes | in_box(lon, lat, west + 360, 360.0, south, north)
+        if east > 180:
+            boxes = boxes | in_box(lon, lat, -360.0, east - 360, south, north)
+    return boxes & (d <= km) & (d >= least_km)
 
 
 def llh_to_xyz(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Column]:

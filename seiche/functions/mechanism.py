@@ -74,17 +74,47 @@ def axes(strike: Column, dip: Column, rake: Column) -> dict[str, tuple[Column, C
     def direction(v: list[Column]) -> tuple[Column, Column]:
         down = F.when(v[2] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
         x, y, z = (c * down for c in v)
-        return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.atan2(z, F.hypot(x, y)))
+        azimuth, plunge = F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.atan2(z, F.hypot(x, y)))
+        # A horizontal axis has two ends: the one in [0, 180) names it. A vertical one points nowhere.
+        half = F.when((plunge < 1e-7) & (azimuth >= 180 - 1e-9), F.greatest(azimuth - 180, F.lit(0.0))).otherwise(azimuth)
+        return F.when((plunge > 90 - 1e-6) | (half >= 360 - 1e-9), F.lit(0.0)).otherwise(half), plunge
 
     return {k: direction(v) for k, v in vectors.items()}
 
 
-def faulting_class(p: Column, b: Column, t: Column) -> Column:
-    """Normal, strike-slip, thrust or odd by the plunges of the axes (60, 60 and 50 degrees)."""
-    return F.when(p >= 60, "normal").when(b >= 60, "strike-slip").when(t >= 50, "thrust").when(p.isNotNull() & b.isNotNull() & t.isNotNull(), "odd")
+# Plunges of the P, B and T axes from (inclusive), to (exclusive) and up to (inclusive) of the regimes of the world stress map.
+REGIMES = (
+    ("normal", {"p": (52, None, None), "t": (None, None, 35)}),
+    ("normal-oblique", {"p": (40, 52, None), "t": (None, None, 20)}),
+    ("strike-slip", {"p": (None, 40, None), "b": (45, None, None), "t": (None, None, 20)}),
+    ("strike-slip", {"p": (None, None, 20), "b": (45, None, None), "t": (None, 40, None)}),
+    ("reverse-oblique", {"p": (None, None, 20), "t": (40, 52, None)}),
+    ("reverse", {"p": (None, None, 35), "t": (52, None, None)}),
+)
+
+
+def faulting_class(p: Column, b: Column, t: Column, rule: str = "frohlich") -> Column:
+    """The class by the plunges of the axes, null without all three.
+
+    ``frohlich``: B above 60 degrees is strike-slip, P above 60 normal, T above 50 reverse, else
+    odd. ``wsm``: the first of the REGIMES whose bounds hold, else odd.
+    """
+    known = p.isNotNull() & b.isNotNull() & t.isNotNull()
+    if rule == "frohlich":
+        return F.when(b > 60, "strike-slip").when(p > 60, "normal").when(t > 50, "reverse").when(known, "odd")
+    if rule != "wsm":
+        raise ValueError(f"no rule {rule!r}")
+    axis, out = {"p": p, "b": b, "t": t}, None
+    for name, bounds in REGIMES:
+        holds = F.lit(True)
+        for k, (least, below, most) in bounds.items():
+            for value, test in ((least, axis[k].__ge__), (below, axis[k].__lt__), (most, axis[k].__le__)):
+                holds = holds & test(F.lit(value)) if value is not None else holds
+        out = F.when(known & holds, name) if out is None else out.when(known & holds, name)
+    return out.when(known, "odd")
 
 
 def faulting_label(text: Column) -> Column:
     """The class named in free text such as "normal faulting dominates"; null if none is."""
     plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), r"( faulting)? dominates$", "")
-    return F.when(plain.isin("normal", "thrust", "strike-slip", "odd"), plain).when(plain.isin("strike slip", "strikeslip"), "strike-slip").when(plain.isin("reverse", "inverse"), "thrust")
+    return F.when(plain.isin("normal", "reverse", "strike-slip", "dip-slip", "odd"), plain).when(plain.isin("strike slip", "strikeslip"), "strike-slip").when(plain.isin("thrust", "inverse"), "reverse")

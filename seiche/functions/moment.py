@@ -51,9 +51,21 @@ def moment_from_mw(mw: Column, constant: float = MW_CONSTANT) -> Column:
 
 
 def log_moment_from_mlw(mlw: Column) -> Column:
-    out = MLW_SLOPES[0] * mlw + MLW_INTERCEPT
-    for knot, before, after in zip(MLW_KNOTS, MLW_SLOPES, MLW_SLOPES[1:]):
-        out = out + (after - before) * F.greatest(mlw - knot, F.lit(0.0))
+    """On the segment of the line that holds the magnitude, from its start and slope."""
+    out = F.lit(None).cast("double")
+    for low, value, slope in _segments():
+        at = slope * mlw + (value - slope * low)
+        out = F.when(mlw > low, at).otherwise(out) if low > float("-inf") else F.lit(MLW_SLOPES[0]) * mlw + MLW_INTERCEPT
+    return out
+
+
+def _segments() -> list[tuple[float, float, float]]:
+    """(lower magnitude, log10 of the moment there, slope) of each segment; the first is open below."""
+    out, value = [(float("-inf"), float("nan"), MLW_SLOPES[0])], MLW_SLOPES[0] * MLW_KNOTS[0] + MLW_INTERCEPT
+    for k, knot in enumerate(MLW_KNOTS):
+        out.append((knot, value, MLW_SLOPES[k + 1]))
+        if k + 1 < len(MLW_KNOTS):
+            value += MLW_SLOPES[k + 1] * (MLW_KNOTS[k + 1] - knot)
     return out
 
 
@@ -64,15 +76,9 @@ def moment_from_mlw(mlw: Column) -> Column:
 def mlw_from_moment(m0: Column) -> Column:
     """The inverse: on each segment of the line the magnitude that gives the moment."""
     log_m = F.log10(m0)
-    start, value, out = MLW_KNOTS[0], MLW_KNOTS[0] + MLW_INTERCEPT, None
-    pieces = []
-    for knot, slope, after in zip(MLW_KNOTS, MLW_SLOPES[1:], [*MLW_KNOTS[1:], None]):
-        pieces.append((value, start, slope))
-        if after is not None:
-            value, start = value + slope * (after - knot), after
-    out = log_m - MLW_INTERCEPT
-    for at, first, slope in pieces:
-        out = F.when(log_m > at, (log_m - at) / slope + first).otherwise(out)
+    out = (log_m - MLW_INTERCEPT) / MLW_SLOPES[0]
+    for low, value, slope in _segments()[1:]:
+        out = F.when(log_m > value, (log_m - value) / slope + low).otherwise(out)
     return F.when((m0 > 0) & ~F.isnan(m0), out)
 
 

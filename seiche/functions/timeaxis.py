@@ -60,12 +60,12 @@ def epoch_key(yearf: Column) -> Column:
 
 
 def sinex_epoch(text: Column) -> Column:
-    """YY:DOY:SSSSS as an instant, years below 50 in this century."""
+    """YY:DOY:SSSSS as an instant, years up to 50 in this century; 00:000:00000 is an open end and null."""
     year = F.regexp_extract(text, r"^(\d{2}):(\d{3}):(\d{5})$", 1).try_cast("int")
-    full = F.when(year < 50, year + 2000).otherwise(year + 1900)
+    full = F.when(year <= 50, year + 2000).otherwise(year + 1900)
     seconds = F.regexp_extract(text, r"^(\d{2}):(\d{3}):(\d{5})$", 3).try_cast("long")
     day = F.date_add(year_start(full), F.regexp_extract(text, r"^(\d{2}):(\d{3}):(\d{5})$", 2).try_cast("int") - 1)
-    return F.when(text.rlike(r"^\d{2}:\d{3}:\d{5}$"), day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")))
+    return F.when(text.rlike(r"^\d{2}:(?!000)\d{3}:\d{5}$"), day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")))
 
 
 def gps_week_start(week: Column) -> Column:
@@ -75,12 +75,8 @@ def gps_week_start(week: Column) -> Column:
 def date_of_week_and_day(week: Column, day_of_year: Column) -> Column:
     """The day with that day of the year from one day before the week's start to seven after; null if none."""
     start = gps_week_start(week)
-    out = None
-    for shift in (0, 1, -1):
-        day = F.date_add(year_start(F.year(start) + shift), (day_of_year - 1).cast("int"))
-        fits = F.datediff(day, start).between(-1, 7)
-        out = F.when(fits, day) if out is None else out.when(fits, day)
-    return out
+    days = F.transform(F.sequence(F.lit(-1), F.lit(7)), lambda k: F.date_add(start, k))
+    return F.try_element_at(F.filter(days, lambda d: F.dayofyear(d) == day_of_year), F.lit(1))
 
 
 def parsed_date(text: Column) -> Column:

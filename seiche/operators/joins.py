@@ -6,6 +6,10 @@ the exact condition follows. No side is broadcast unless Spark has measured it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,29 +102,45 @@ def duplicates_flagged(events: DataFrame, *, row: str, t: str, lat: str, lon: st
     return out.select("row", F.when(F.col("auto"), F.coalesce("_dup", F.lit(False))).alias("possible_duplicate"))
 
 
-def greedy_pairs(edges: DataFrame, a: str, b: str, order: list[Column], rounds: int = 50) -> DataFrame:
+#: Edges that one task goes through in order (a few MB); more are thinned by rounds first, with the same result.
+EDGES_IN_ONE_TASK = 200_000
+
+
+def greedy_pairs(edges: DataFrame, a: str, b: str, order: list[Column], in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
     """One-to-one pairs as taking the edges in order, each that still has both ends free.
 
     Rounds of mutual best edges: an edge that is first for both its ends is accepted and their
     other edges removed. With a total order (it ends in a and b) this is the sequential result; the
     globally first open edge is always mutual best, so every round accepts some. Each round is
-    written to the shared folder; the rounds needed depend on chains of contested edges, seven for
-    the densest swarms seen.
+    written to the shared folder. Once no more than ``in_one_task`` edges are open, one task takes
+    them in order.
     """
     rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(a).alias("a"), F.col(b).alias("b"))
-    open_edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), rank.alias("rank"))
-    open_edges = written(open_edges, "greedy-edges")
+    open_edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), rank.alias("rank")), "greedy-edges")
     taken: DataFrame | None = None
-    for _ in range(rounds):
+    while open_edges.count() > in_one_task:
         best_a = open_edges.groupBy("a").agg(F.min("rank").alias("ra"))
         best_b = open_edges.groupBy("b").agg(F.min("rank").alias("rb"))
-        won = best_a.join(best_b, F.col("ra") == F.col("rb")).select(F.col("ra.a").alias("a"), F.col("ra.b").alias("b"))
-        won = written(won, "greedy-won")
+        won = written(best_a.join(best_b, F.col("ra") == F.col("rb")).select(F.col("ra.a").alias("a"), F.col("ra.b").alias("b")), "greedy-won")
         taken = won if taken is None else taken.unionByName(won)
         open_edges = written(open_edges.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "greedy-edges")
-        if open_edges.isEmpty():
-            return taken.select(F.col("a").alias(a), F.col("b").alias(b))
-    raise RuntimeError(f"edges are still contested after {rounds} rounds")
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used_a, used_b = set(), set()
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for k, (x, y) in enumerate(zip(pdf["a"], pdf["b"])):
+                if x not in used_a and y not in used_b:
+                    keep[k] = True
+                    used_a.add(x)
+                    used_b.add(y)
+            yield pdf[keep]
+
+    ends = open_edges.select("a", "b")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ends.schema)
+    last = open_edges.repartition(1).sortWithinPartitions("rank").select("a", "b").mapInPandas(in_order, schema)
+    taken = last if taken is None else taken.unionByName(last)
+    return taken.select(F.col("a").alias(a), F.col("b").alias(b))
 
 
 def catalogue_match(a: DataFrame, b: DataFrame, *, seconds: float, km: float, key: tuple[str, str] | None = None) -> DataFrame:
@@ -219,9 +239,10 @@ def compared(a: DataFrame, b: DataFrame, key: str, *, numbers: dict[str, float],
 
 def resolved_twins(rows: DataFrame, *, event: str, system: str, reviewed_system: str, order: list[Column], auto_value: str) -> DataFrame:
     """One row an event: the reviewed solution where there is one, with the automatic twin's value beside it."""
+    from seiche.functions.geo import number
     from seiche.operators.windows import first_per_key
 
-    one = first_per_key(rows, [event, system], order)
+    one = first_per_key(rows.withColumn(auto_value, number(auto_value)), [event, system], order)
     picks, autos = one.filter(F.col(system) == reviewed_system), first_per_key(one.filter(F.col(system) != reviewed_system), [event], [F.col(system)])
     twins = autos.select(F.col(event), F.col(auto_value).alias("auto_value"))
     kept = picks.join(twins, event, "left")

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seiche.functions.geo import box_around, in_box
 from seiche.operators.predicates import Selection
 from seiche.operators.schema import EVENTS, coerced
 
@@ -62,9 +61,6 @@ def catalogue_for(spark: SparkSession, selection: Selection, start: str, end: st
     out = None
     for name, a, b in seam_windows(sources, seams, start, end):
         rows = coerced(readers[name](spark, a, b), EVENTS).filter(within("time", a, b))
-        if selection.circle:
-            lon, lat, km = selection.circle
-            rows = rows.filter(in_box(F.col("longitude"), F.col("latitude"), *box_around(lon, lat, km)))
         rows = rows.filter(selection.condition())
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:

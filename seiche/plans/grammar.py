@@ -67,7 +67,8 @@ class Term:
 
 def parse_term(spec: str) -> Term:
     """KIND@EPOCH[,tau=YEARS]."""
-    m = re.fullmatch(r"\s*(step|exp|log|rate)@([\d.]+)\s*(?:,\s*tau\s*=\s*([\d.]+))?\s*", spec)
+    number = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?"
+    m = re.fullmatch(rf"\s*(step|exp|log|rate)\s*@\s*({number})\s*(?:,\s*tau\s*=\s*({number}))?\s*", spec.lower())
     if not m:
         raise ValueError(f"no term: {spec!r}")
     kind, epoch, tau = m.groups()
@@ -113,7 +114,7 @@ class Hold:
 
 def parse_hold(spec: str) -> Hold:
     """[STAGE:]GROUP=stage:NAME | donor:NAME | store:NAME."""
-    m = re.fullmatch(r"\s*(?:([\w-]+):)?([\w+-]+)=(stage|donor|store):([\w.-]*)\s*", spec)
+    m = re.fullmatch(r"\s*(?:([\w-]+):)?([\w+-]+)=(stage|donor|store):\s*([\w.-]+)\s*", spec)
     if not m:
         raise ValueError(f"no hold: {spec!r}")
     return Hold(m[1], m[2], m[3], m[4])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,9 @@ def session(app: str = "seiche", cores: str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where it is unset (tests, one
-    machine) a temporary folder is made and set on the context, and later calls reuse it.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where it is unset on a single machine
+    (a local master) a temporary folder is made and set on the context, and later calls reuse it;
+    on a cluster a folder of one machine would lose data, so that raises.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +40,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if current.isDefined():
             base = current.get()
         else:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="seiche-")
             context.setCheckpointDir(base)
             base = context._jsc.sc().getCheckpointDir().get()

@@ -55,7 +55,7 @@ def test_planes(spark):
 
 
 def test_axes_and_classes(spark):
-    for plane, want in (((0.0, 45.0, -90.0), "normal"), ((0.0, 45.0, 90.0), "thrust"), ((0.0, 90.0, 0.0), "strike-slip")):
+    for plane, want in (((0.0, 45.0, -90.0), "normal"), ((0.0, 45.0, 90.0), "reverse"), ((0.0, 90.0, 0.0), "strike-slip")):
         a = mechanism.axes(*map(L, plane))
         r = one(spark, mechanism.faulting_class(a["p"][1], a["b"][1], a["t"][1]), a["p"][1], a["t"][1])
         assert r[0] == want
