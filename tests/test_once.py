@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seiche.streaming.once import first_deliveries, message_identity, repeated_deliveries
+from seiche.streaming.once import message_identity, repeated_deliveries
 
 SCHEMA = "delivery_id long, event_id string, updated_time string, received_at timestamp_ntz, k_event string, first string"
 KEY = {"key": ["k_event", "k_instant"], "event_time": "k_instant", "prepare": message_identity}
@@ -47,9 +47,9 @@ def test_batches_and_late_arrivals(spark, tmp_path):
 
 
 def test_goes_on_with_new_files(spark, tmp_path):
-    path, where = str(tmp_path / "m.parquet"), {"checkpoint": str(tmp_path / "c"), "out": str(tmp_path / "o")}
+    path, where = str(tmp_path / "m.parquet"), {"folder": str(tmp_path / "f"), "lateness": "1 hour"}
     spark.createDataFrame(rows(40, 5), SCHEMA).coalesce(1).write.parquet(path)
-    first_deliveries(spark, path, arrived="received_at", number="delivery_id", **KEY, **where).count()
+    assert found(spark, path, **where) == brute(rows(40, 5))
     more = rows(40, 6, start=1000)
     spark.createDataFrame(more, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     assert found(spark, path, **where) == brute(rows(40, 5) + more)
