@@ -136,23 +136,27 @@ def invalid_values(cells: DataFrame, layout: Layout) -> DataFrame:
     return judged.filter("why is not null").drop("n").withColumnRenamed("v", "value")
 
 
-def failed_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> DataFrame:
-    """Records that are not valid: line_id, reason (quoting, columns, value), field, why.
+def judged_records(lines: DataFrame, layout: Layout = FPS, **columns: str) -> DataFrame:
+    """All records, parsed once and written: line_id, reason (quoting, columns or null) and fields."""
+    parsed = parsed_lines(lines, **columns)
+    structure = F.when(~F.col("sound"), "quoting").when(F.size("fields") != len(layout.names), "columns")
+    return written(parsed.select("line_id", structure.alias("reason"), F.when(structure.isNull(), F.col("fields")).alias("fields")), "records")
+
+
+def failures(records: DataFrame, layout: Layout = FPS) -> DataFrame:
+    """The records that are not valid: line_id, reason (quoting, columns, value), field, why.
 
     The first reason that applies; for ``value`` the first field at fault. Equal values meet in
     the map tasks before the shuffle. The dictionary holds invalid values only; Spark broadcasts
     it when its measured size allows and otherwise joins by hash, splitting hot values.
     """
-    parsed = parsed_lines(lines, **columns)
-    width = len(layout.names)
-    structure = F.when(~F.col("sound"), "quoting").when(F.size("fields") != width, "columns")
-    broken = parsed.withColumn("reason", structure).filter("reason is not null").select("line_id", "reason", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("why"))
-    whole = parsed.filter(F.col("sound") & (F.size("fields") == width))
+    none = F.lit(None).cast("string")
+    broken = records.filter("reason is not null").select("line_id", "reason", none.alias("field"), none.alias("why"))
     at = {name: i for i, name in enumerate(layout.names)}
-    partner = F.lit(None).cast("string")
+    partner = F.lit("")
     for name, other, _, _ in layout.pairs:
         partner = F.when(F.col("pos") == at[name], F.col("fields")[at[other]]).otherwise(partner)
-    cells = whole.select("line_id", "fields", F.posexplode("fields").alias("pos", "value")).select("line_id", "pos", "value", F.coalesce(partner, F.lit("")).alias("other"))
+    cells = records.filter("reason is null").select("line_id", "fields", F.posexplode("fields").alias("pos", "value")).select("line_id", "pos", "value", partner.alias("other"))
     dictionary = written(invalid_values(cells, layout), "invalid-values")
     hits = cells.join(dictionary, ["pos", "value", "other"]).groupBy("line_id").agg(F.min(F.struct("pos", "why")).alias("m"))
     names = F.array(*[F.lit(n) for n in layout.names])
@@ -160,11 +164,16 @@ def failed_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> Data
     return broken.unionByName(wrong)
 
 
+def failed_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> DataFrame:
+    """``failures`` of raw lines."""
+    return failures(judged_records(lines, layout, **columns), layout)
+
+
 def loaded_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> DataFrame:
     """The valid records as typed rows: line_id and one column a field, missing values as null."""
     text = {"date", "time", "id", "event_type", "source_file"}
-    parsed = parsed_lines(lines, **columns).filter(F.col("sound") & (F.size("fields") == len(layout.names)))
-    good = parsed.join(failed_lines(lines, layout, **columns).select("line_id"), "line_id", "left_anti")
+    records = judged_records(lines, layout, **columns)
+    good = records.filter("reason is null").join(failures(records, layout).select("line_id"), "line_id", "left_anti")
 
     def typed(i: int, name: str) -> Column:
         value = F.col("fields")[i]
@@ -178,9 +187,9 @@ def loaded_lines(lines: DataFrame, layout: Layout = FPS, **columns: str) -> Data
 
 def reconciled_counts(lines: DataFrame, report: DataFrame, layout: Layout = FPS, *, file_path: str = "file_path", line_id: str = "line_id", **columns: str) -> DataFrame:
     """Per file: lines, records, valid and failed records, the reported totals and whether they agree."""
-    failed = failed_lines(lines, layout, line_id=line_id, **columns).select("line_id", "reason")
-    records = parsed_lines(lines, line_id=line_id, **columns).select("line_id", F.lit(1).alias("is_record"))
-    rows = lines.select(F.col(line_id).alias("line_id"), F.col(file_path).alias("file_path")).join(records, "line_id", "left").join(failed, "line_id", "left")
+    records = judged_records(lines, layout, line_id=line_id, **columns)
+    state = records.select("line_id").join(failures(records, layout).select("line_id", "reason"), "line_id", "left").withColumn("is_record", F.lit(1))
+    rows = lines.select(F.col(line_id).alias("line_id"), F.col(file_path).alias("file_path")).join(state, "line_id", "left")
     counted = rows.groupBy("file_path").agg(
         F.count("*").alias("n_lines"),
         F.count("is_record").alias("n_records"),
