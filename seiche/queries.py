@@ -21,9 +21,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features under their first names, the properties as sorted JSON."""
+    """All features under their first names, the properties' texts as sorted JSON."""
     rows = unified_features(read(spark, sf_dir, "feed_features"))
-    return rows.select("feature_id", "feed", "file_no", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("properties")))).alias("properties"))
+    texts = F.transform(F.array_sort(F.map_keys("properties")), lambda k: F.struct(k.alias("key"), F.col("properties")[k]["text"].alias("value")))
+    return rows.select("feature_id", "feed", "file_no", F.to_json(F.map_from_entries(texts)).alias("properties"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,26 @@ def test_edge_cases(spark):
     assert found(table(spark, rows)) == {("f", 3, "a", "b", "renamed")}
     assert found(table(spark, [])) == set()
     names = {r.feature_id: set(r.properties or {}) for r in unified_features(table(spark, rows)).collect()}
-    assert names[5] == {"event_id", "a", "n"} and names[0] == {"event_id", "a"}
+    assert names[5] == {"event_id", "a", "n"} and names[0] == {"event_id", "a", "n"} and names[2] == set()
+
+
+def test_unified_table_is_typed_and_keeps_lives_apart(spark):
+    rows = [
+        ("f", 1, body(event_id="x", a=1, p=5, q=True)), ("f", 1, body(event_id="y", a=2, p=None, q=False)),
+        ("f", 2, body(event_id="x", b=1, p="7", q=True)), ("f", 2, body(event_id="y", b=2, p="8", q=False)),
+        ("f", 3, body(event_id="x", b=1, a="new", p="9")), ("f", 3, body(event_id="y", b=2, a="z", p=1)),
+    ]
+    out = {r.feature_id: r.properties for r in unified_features(table(spark, rows)).collect()}
+    assert [out[k]["a"].number for k in range(6)] == [1.0, 2.0] * 3
+    assert out[4]["a#3"].text == '"new"' and out[4]["a#3"].number is None and "b" not in out[2]
+    assert [out[k]["p"].number for k in range(6)] == [5.0, None, 7.0, 8.0, 9.0, 1.0] and out[1]["p"].text is None
+    assert (out[0]["q"].flag, out[1]["q"].flag, out[0]["event_id"].number) == (True, False, None)
+
+
+def test_sketches_prune_only_what_cannot_match(spark):
+    many = [("f", 1, body(event_id=f"e{k}", old=k, other=-k - 1)) for k in range(3000)]
+    more = [("f", 2, body(event_id=f"e{k}", new=k)) for k in range(2990, 6000)]
+    assert found(table(spark, many + more)) == {("f", 2, "old", "new", "renamed"), ("f", 2, "other", "other", "removed")}
 
 
 def test_assignment_is_optimal():
