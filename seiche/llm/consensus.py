@@ -2,8 +2,8 @@
 
 ``survivors`` orders the records of a group by trust, completeness and recency and takes fields
 that the survivor lacks from the best record that has one. ``consensus`` aligns the distinct
-values of a column token by token, lets their weights vote at each place and emits the existing
-value nearest to the consensus.
+values of a column token by token to the heaviest of them, lets their weights vote at each place
+and emits the existing value nearest to the consensus.
 
 Defined results: records without a key are no member of any group; exact repeats are records of
 their own; all-null columns give null; ties end with the smallest record number; an empty table
@@ -13,15 +13,14 @@ gives an empty result. Groups are aggregated in the map tasks, never collected.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct values that are aligned in one task; larger groups are aligned in blocks, and the blocks' consensus values again.
-BLOCK = 64
-
+from seiche.session import written
 
 def event_number(value: Column) -> Column:
     """The number in an identifier spelled with or without SIL, zeros and blanks; null if there is none."""
@@ -54,72 +53,74 @@ def tokens(value: str) -> list[str]:
     return re.findall(r"[^\W\d_]+|\d+|\s+|.", value, re.S)
 
 
-def align(profile: list[dict[str, float]], value: list[str], weight: float, held: float) -> list[dict[str, float]]:
-    """Add a token sequence to a profile (token weights at each place; "" is a gap)."""
-    n, m = len(profile), len(value)
-    score = np.zeros((n + 1, m + 1))
-    gap = -0.6
-    score[:, 0], score[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
+def placed(backbone: list[str], value: list[str]) -> list[tuple[int, str]]:
+    """The value's tokens at places of the backbone: 2k + 1 is its k-th token, 2k what stands before it.
+
+    A global alignment by dynamic programming; a token of the backbone that the value has nothing for
+    gets "", tokens that stand together between two of its tokens are one.
+    """
+    n, m = len(backbone), len(value)
+    if backbone == value:
+        return [(2 * k + 1, t) for k, t in enumerate(value)]
+    equal = np.array(backbone, object)[:, None] == np.array(value, object)[None, :]
+    score = np.zeros((n + 1, m + 1), np.int64)
+    score[:, 0], score[0, :] = -2 * np.arange(n + 1), -2 * np.arange(m + 1)
+    step = -2 * np.arange(m + 1)
     for i in range(1, n + 1):
-        column = profile[i - 1]
-        for j in range(1, m + 1):
-            agree = column.get(value[j - 1], 0.0) / held
-            score[i, j] = max(score[i - 1, j - 1] + 2 * agree - 0.5, score[i - 1, j] + gap, score[i, j - 1] + gap)
-    out, i, j = [], n, m
+        # Gaps along a row cost 2 each: a running maximum of the score less what its place costs.
+        row = score[i - 1] - 2
+        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(equal[i - 1], 3, -1))
+        score[i] = np.maximum.accumulate(row - step) + step
+    out: list[tuple[int, str]] = []
+    between: dict[int, str] = {}
+    i, j = n, m
     while i or j:
-        agree = profile[i - 1].get(value[j - 1], 0.0) / held if i and j else 0.0
-        if i and j and np.isclose(score[i, j], score[i - 1, j - 1] + 2 * agree - 0.5):
-            column, token = profile[i - 1], value[j - 1]
+        if i and j and score[i, j] == score[i - 1, j - 1] + (3 if equal[i - 1, j - 1] else -1):
             i, j = i - 1, j - 1
-        elif i and np.isclose(score[i, j], score[i - 1, j] + gap):
-            column, token = profile[i - 1], ""
+            out.append((2 * i + 1, value[j]))
+        elif i and score[i, j] == score[i - 1, j] - 2:
             i -= 1
+            out.append((2 * i + 1, ""))
         else:
-            column, token = {"": held}, value[j - 1]
             j -= 1
-        out.append(column | {token: column.get(token, 0.0) + weight})
-    return out[::-1]
-
-
-def consensus_of(values: list[tuple[str, float]]) -> str:
-    """The consensus of weighted values: progressive alignment, heaviest first, then a vote at each place."""
-    ordered = sorted(values, key=lambda v: (-v[1], v[0]))
-    profile: list[dict[str, float]] = []
-    held = 0.0
-    for value, weight in ordered:
-        parts = tokens(value)
-        profile = align(profile, parts, weight, held) if held else [{p: weight} for p in parts]
-        held += weight
-    return "".join(max(sorted(c), key=c.get) for c in profile)
+            between[2 * i] = value[j] + between.get(2 * i, "")
+    return sorted([*out, *between.items()])
 
 
 def consensus(records: DataFrame, *, key: Column, columns: dict[str, Column], weight: Column) -> DataFrame:
     """One row a group and column: key, column, value (an existing one), n_values, consensus.
 
-    Weights are summed per distinct value before anything is gathered, and at most ``BLOCK``
-    distinct values meet in a task; the blocks' consensus values are aligned in further rounds.
+    Weights are summed per distinct value. The heaviest value of a group is its backbone, to which
+    every other is aligned by itself; a pair of texts is aligned once, in however many groups it is.
+    The weights vote at each place of the backbone, and between its places against having nothing
+    there. All sums are combined before they are shuffled: no group is gathered, only the places of
+    its backbone.
     """
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c.cast("string").alias("value")) for n, c in columns.items()]))
     votes = records.select(key.alias("key"), weight.cast("double").alias("weight"), each.alias("e")).select("key", "e.*", "weight").filter("key is not null and value is not null")
-    votes = votes.groupBy("key", "column", "value").agg(F.sum("weight").alias("weight"))
-    schema = "key long, column string, value string, weight double"
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = consensus_of(list(zip(pdf.value, pdf.weight)))
-        return pd.DataFrame({"key": [pdf.key.iloc[0]], "column": [pdf.column.iloc[0]], "value": [value], "weight": [pdf.weight.sum()]})
-
-    sizes = votes.groupBy("key", "column").agg(F.count("*").alias("n_values"))
-    largest = sizes.agg(F.max("n_values")).head()[0] or 0
-    level = votes.join(sizes, ["key", "column"])
-    while True:
-        blocks = F.ceil(F.col("n_values") / BLOCK)
-        level = level.withColumn("block", F.pmod(F.xxhash64("value"), blocks))
-        level = level.groupBy("key", "column", "block").applyInPandas(lambda pdf: block(pdf), schema)
-        if largest <= BLOCK:
-            break
-        largest = -(-largest // BLOCK)
-        level = level.withColumn("n_values", F.lit(largest))
-    agreed = level.select("key", "column", F.col("value").alias("consensus"))
+    votes = written(votes.groupBy("key", "column", "value").agg(F.sum("weight").alias("weight")), "consensus-votes")
+    first = F.min(F.struct((-F.col("weight")).alias("w"), F.col("value").alias("value"))).getField("value")
+    groups = votes.groupBy("key", "column").agg(F.count("*").alias("n_values"), F.sum("weight").alias("held"), first.alias("backbone"))
+    groups = written(groups, "consensus-groups")
+    alone = groups.filter("n_values = 1").select("key", "column", F.col("backbone").alias("value"), "n_values", F.col("backbone").alias("consensus"))
+
+    split = votes.join(groups.filter("n_values > 1"), ["key", "column"])
+    pairs = split.select("backbone", "value").distinct()
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [placed(tokens(b), tokens(v)) for b, v in zip(pdf.backbone, pdf.value)]
+            yield pd.DataFrame({"backbone": pdf.backbone, "value": pdf.value, "places": [[{"place": p, "token": t} for p, t in q] for q in parts]})
+
+    places = written(pairs.mapInPandas(aligned, "backbone string, value string, places array<struct<place:int,token:string>>"), "consensus-places")
+    split = split.join(places, ["backbone", "value"])
+    cast = split.select("key", "column", "held", "weight", F.explode("places").alias("p")).groupBy("key", "column", "held", "p").agg(F.sum("weight").alias("weight"))
+    best = F.max(F.struct("weight", F.col("p.token").alias("token")))
+    won = cast.groupBy("key", "column", "held", F.col("p.place").alias("place")).agg(best.alias("best"), F.sum("weight").alias("said"))
+    # Between two tokens of the backbone, having nothing is the vote of the values that say nothing there.
+    won = won.withColumn("token", F.when((F.col("place") % 2 == 0) & (F.col("best.weight") <= F.col("held") - F.col("said")), F.lit("")).otherwise(F.col("best.token")))
+    agreed = won.groupBy("key", "column").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("places"))
+    agreed = agreed.select("key", "column", F.array_join(F.transform("places", lambda x: x["token"]), "").alias("consensus"))
     near = F.struct(F.levenshtein("value", "consensus").alias("d"), (-F.col("weight")).alias("w"), F.col("value").alias("value"))
     chosen = votes.join(agreed, ["key", "column"]).groupBy("key", "column").agg(F.min(near).getField("value").alias("value"), F.count("*").alias("n_values"), F.first("consensus").alias("consensus"))
-    return chosen
+    return chosen.unionByName(alone)

@@ -1,11 +1,12 @@
-"""Evaluation texts leaking into training text: spaced seeds over windows of words.
+"""Evaluation texts leaking into training text: spaced seeds over windows of words, joined by Spark.
 
-A window of twelve words is hashed under fixed masks that leave out some of its positions. The
-hashes of all windows of the evaluation items are sent to the tasks; each task hashes the windows
-of its documents, joins them to the items' hashes, and verifies the words of both around a hit,
-allowing as many substitutions as asked for. The masks leave out the first, middle and last third
-in turn, so that every window with one substitution agrees under one of them; without
-substitutions one mask finds every window.
+A window of twelve words is hashed under fixed masks that ignore some of its positions: with k
+substitutions to be allowed the positions fall into k + 2 interleaved classes (three at least), and
+each mask ignores k of them (one at least), so that any k substituted words are ignored by some mask;
+without substitutions one mask finds every window. The seeds of all windows of the evaluation items
+are rows of a table. A filter of bits over them, of bounded size, goes to the tasks, which hash
+the windows of their documents and send on only those that may be among the items'; these are joined
+to the items' seeds, and the words of both sides are compared around each hit.
 
 Words are runs of letters and digits in lower case; commands (a backslash and letters) and
 everything else separate words.
@@ -16,18 +17,25 @@ leak; repeated rows are reported once; texts of any length are searched whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seiche.llm.utf8 import DIGIT, LETTER, classes, slices
+from seiche.session import written
 
-#: Words of evaluation text sent to the tasks at a time; more items are searched in further blocks.
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter for each seed of the items, and its least and greatest size as powers of two. Beyond the
+#: greatest size it only lets more windows through to the join, which is exact.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 32, 16, 28
+#: The filter is put together from this many parts.
+FILTER_PARTS = 8
 
 
 @lru_cache(1)
@@ -94,17 +102,11 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def masks_for(window: int, substitutions: int) -> list[np.ndarray]:
-    """The positions each seed looks at. With k substitutions, k + 2 parts of the window are left out in turn."""
-    parts = np.array_split(np.arange(window), substitutions + 2)
-    masks = [np.setdiff1d(np.arange(window), p) for p in parts]
-    if substitutions == 0:
-        return masks[:1]
-    if substitutions == 1:
-        return masks
-    # One part is clear of the other substitutions only if several parts are left out together.
-    from itertools import combinations
-
-    return [np.setdiff1d(np.arange(window), np.concatenate(c)) for c in combinations(parts, substitutions)]
+    """The positions each mask looks at; see the module's text."""
+    n = max(3, substitutions + 2)
+    place = np.arange(window)
+    masks = [place[~np.isin(place % n, ignored)] for ignored in combinations(range(n), max(1, substitutions))]
+    return masks if substitutions else masks[:1]
 
 
 def seeds(hashes: np.ndarray, window: int, mask: np.ndarray) -> np.ndarray:
@@ -119,100 +121,97 @@ def seeds(hashes: np.ndarray, window: int, mask: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(33))
 
 
-class ItemIndex:
-    """The words of a block of items and the seeds of all their windows."""
-
-    def __init__(self, ids: list[int], texts: list[str], window: int, substitutions: int) -> None:
-        self.window, self.substitutions, self.ids = window, substitutions, np.array(ids, np.int64)
-        raw = [(t or "").encode() for t in texts]
-        starts = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-        self.hashes, self.first, self.low, self.begin, self.end = words_of(np.frombuffer(b"".join(raw), np.uint8), starts)
-        owner = np.repeat(np.arange(len(ids)), np.diff(self.first))
-        self.tables = []
-        for mask in masks_for(window, substitutions):
-            value = seeds(self.hashes, window, mask)
-            at = np.flatnonzero(owner[: len(value)] == owner[window - 1 :]) if len(value) else np.zeros(0, np.int64)
-            order = at[np.argsort(value[at], kind="stable")]
-            bits = np.zeros(1 << 20, bool)
-            bits[value[at] & np.uint64(0xFFFFF)] = True
-            self.tables.append((mask, value[order], order, bits))
-        self.owner = owner
-
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window in the documents, window in the items) that share a seed."""
-        left, right = [], []
-        for mask, value, place, bits in self.tables:
-            own = seeds(hashes, self.window, mask)
-            at = np.flatnonzero(bits[own & np.uint64(0xFFFFF)])
-            lo, hi = np.searchsorted(value, own[at], "left"), np.searchsorted(value, own[at], "right")
-            count = hi - lo
-            left.append(np.repeat(at, count))
-            right.append(place[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
-        return pairs[0], pairs[1]
-
-
-def leaked(index: ItemIndex, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item number, windows, words of the longest overlap) of a slice of texts."""
-    hashes, first, low, begin, end = words_of(data, starts)
-    left, right = index.hits(hashes)
-    text = np.searchsorted(first, left, "right") - 1
-    inside = left + index.window <= first[text + 1]
-    left, right, text = left[inside], right[inside], text[inside]
-    step = np.arange(index.window)
-    differ = (hashes[left[:, None] + step] != index.hashes[right[:, None] + step]).sum(1)
-    close = differ <= index.substitutions
-    left, right, text = left[close], right[close], text[close]
-
-    def same(i: int, j: int) -> bool:
-        return low[begin[i] : end[i]].tobytes() == index.low[index.begin[j] : index.end[j]].tobytes()
-
-    runs: dict[tuple[int, int], dict[int, list[int]]] = {}
-    for i, j, t in zip(left.tolist(), right.tolist(), text.tolist()):
-        if sum(not same(i + k, j + k) for k in range(index.window)) <= index.substitutions:
-            runs.setdefault((t, int(index.owner[j])), {}).setdefault(i - j, []).append(i)
-    out = []
-    for (t, item), lines in sorted(runs.items()):
-        longest = 0
-        for places in lines.values():
-            p = np.sort(places)
-            ends = np.flatnonzero(np.append(np.diff(p) != 1, True))
-            longest = max(longest, int(np.diff(np.append(-1, ends)).max()) + index.window - 1)
-        out.append((t, int(index.ids[item]), sum(map(len, lines.values())), longest))
-    return out
-
-
-def leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, substitutions: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def filter_places(seed: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The three places of each seed in a filter of 2 to the ``bits`` bits."""
+    low = np.uint64((1 << bits) - 1)
+    with np.errstate(over="ignore"):
+        mixed = (seed ^ (seed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return [seed & low, (seed >> np.uint64(32)) & low, (mixed >> np.uint64(64 - bits)) & low]
+
+
+def window_rows(batch: pa.RecordBatch, text: str, number: str, masks: list[np.ndarray], window: int, known: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """number, seed, place (of the window's first word in its text) and words of the windows that may be known (all without a filter)."""
+    for row, _, data, starts in slices(batch, text):
+        hashes, first, low, begin, end = words_of(data, starts)
+        for k, mask in enumerate(masks):
+            seed = seeds(hashes, window, mask)
+            if not len(seed):
+                continue
+            with np.errstate(over="ignore"):
+                seed += np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            at = np.arange(len(seed)) if known is None else np.flatnonzero(np.logical_and.reduce([(known[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in filter_places(seed, bits)]))
+            of = np.searchsorted(first, at, "right") - 1
+            inside = at + window <= first[of + 1]
+            at, of = at[inside], of[inside]
+            if not len(at):
+                continue
+            touched = np.unique(at[:, None] + np.arange(window))
+            spelled = [low[begin[w] : end[w]].astype("<u4").tobytes().decode("utf-32-le") for w in touched.tolist()]
+            words = [" ".join(spelled[i : i + window]) for i in np.searchsorted(touched, at).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(number).take(pa.array(row + of)).cast(pa.int64()), pa.array(seed[at].view(np.int64)), pa.array((at - first[of]).astype(np.int64)), pa.array(words, pa.string())], names=["number", "seed", "place", "words"]
+            )
+
+
+WINDOWS = "number long, seed long, place long, words string"
+
+
+def seed_filter(seed_rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter over the seeds: each of a few parts is made by one task, the driver joins these."""
+    n = seed_rows.count()
+    bits = int(np.clip(math.ceil(math.log2(max(n, 1) * BITS_A_SEED)), LEAST_BITS, MOST_BITS))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            seed = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            for p in filter_places(seed, bits):
+                np.bitwise_or.at(own, p >> np.uint64(3), np.left_shift(1, (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["part"])
+
+    known = np.zeros(1 << (bits - 3), np.uint8)
+    for part in seed_rows.select("seed").coalesce(FILTER_PARTS).mapInArrow(marked, "part binary").toLocalIterator():
+        known |= np.frombuffer(part[0], np.uint8)
+    return known, bits
+
+
+def leaked_windows(documents: DataFrame, items: DataFrame, *, window: int = 12, substitutions: int = 0, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, doc_place, item_place of every pair of windows that differ in no more words than asked for."""
+    spark = documents.sparkSession
+    masks = masks_for(window, substitutions)
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from window_rows(batch, "text", "number", masks, window, None, 0)
+
+    item_rows = written(items.select(F.col(item_id).cast("long").alias("number"), F.col(item_text).alias("text")).mapInArrow(of_items, WINDOWS), "item-windows")
+    known, bits = seed_filter(item_rows)
+    shared = spark.sparkContext.broadcast(known)
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from window_rows(batch, "text", "number", masks, window, shared.value, bits)
+
+    doc_rows = documents.select(F.col(doc_id).cast("long").alias("number"), F.col(text).alias("text")).mapInArrow(of_documents, WINDOWS)
+    left = doc_rows.select("seed", F.col("number").alias("doc_id"), F.col("place").alias("doc_place"), F.col("words").alias("doc_words"))
+    right = item_rows.select("seed", F.col("number").alias("item_id"), F.col("place").alias("item_place"), F.col("words").alias("item_words"))
+    hits = left.join(right, "seed")
+    if substitutions:
+        differ = F.size(F.filter(F.zip_with(F.split("doc_words", " "), F.split("item_words", " "), lambda x, y: x != y), lambda d: d))
+        hits = hits.filter(differ <= substitutions)
+    else:
+        hits = hits.filter(F.col("doc_words") == F.col("item_words"))
+    return hits.select("doc_id", "item_id", "doc_place", "item_place")
+
+
+def leaks(documents: DataFrame, items: DataFrame, **how: object) -> DataFrame:
     """One row a document and item: doc_id, item_id, n_windows, n_words (of the longest overlap).
 
-    The items are the stated query set: they are read in blocks of at most ``BLOCK_WORDS`` words,
-    each block against all documents.
+    Takes what ``leaked_windows`` takes.
     """
-    spark = documents.sparkSession
-    blocks: list[tuple[list[int], list[str]]] = []
-    size = BLOCK_WORDS + 1
-    for row in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
-        n = len(row[1]) // 2 + 1
-        if size + n > BLOCK_WORDS:
-            blocks.append(([], []))
-            size = 0
-        blocks[-1][0].append(row[0])
-        blocks[-1][1].append(row[1])
-        size += n
-    rows = documents.select(doc_id, text)
-    found = None
-    for ids, texts in blocks or [([], [])]:
-        shared = spark.sparkContext.broadcast(ItemIndex(ids, texts, window, substitutions))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row, _, data, starts in slices(batch, text):
-                    hits = leaked(shared.value, data, starts)
-                    if hits:
-                        at, item, n, longest = zip(*hits)
-                        numbers = batch.column(doc_id).take(pa.array([row + a for a in at]))
-                        yield pa.RecordBatch.from_arrays([numbers, pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(longest, pa.int64())], names=["doc_id", "item_id", "n_windows", "n_words"])
-
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_windows long, n_words long")
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_words").alias("n_words"))
+    hits = leaked_windows(documents, items, **how).distinct()
+    line = ["doc_id", "item_id", (F.col("doc_place") - F.col("item_place")).alias("line")]
+    rows = hits.select(*line, "doc_place")
+    run = F.col("doc_place") - F.row_number().over(W.partitionBy("doc_id", "item_id", "line").orderBy("doc_place"))
+    runs = rows.withColumn("run", run).groupBy("doc_id", "item_id", "line", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), (F.max("n") + (how.get("window", 12) - 1)).alias("n_words"))

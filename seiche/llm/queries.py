@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seiche.llm.consensus import consensus, event_number, not_missing, survivors
-from seiche.llm.leaks import leaks
+from seiche.llm.leaks import leaked_windows, leaks
 from seiche.llm.nearest_time import complete_records, matched_by_time
 from seiche.llm.quality import distributions, no_prose, statistics
 from seiche.llm.tokens import encoded, vocabulary_use
@@ -74,7 +74,7 @@ def p8_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaked_windows(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

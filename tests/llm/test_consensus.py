@@ -4,8 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seiche.llm import consensus as module
-from seiche.llm.consensus import consensus, consensus_of, event_number, not_missing, survivors
+from seiche.llm.consensus import consensus, event_number, not_missing, placed, survivors, tokens
 
 
 def test_numbers(spark):
@@ -28,13 +27,23 @@ def test_survivors_brute_force(spark):
     assert survivors(df.limit(0), key=F.col("ev"), order=[F.col("o")], number=F.col("row_id"), fill={}).count() == 0
 
 
-def test_consensus_of_variants():
-    assert consensus_of([("Mount Alpha North", 3), ("Mount Alpha", 1), ("Mt Alpha North", 1), ("Mount Alpha North", 1)]) == "Mount Alpha North"
-    assert consensus_of([("a", 1.0)]) == "a" and consensus_of([("", 1.0)]) == ""
+def test_places_spell_the_value():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 7))] for _ in range(2))
+        out = placed(a, b)
+        assert "".join(t for _, t in out) == "".join(b) and [p for p, _ in out] == sorted({p for p, _ in out})
+        assert {p for p, _ in out if p % 2} == {2 * k + 1 for k in range(len(a))}
+    assert placed(tokens("Mount Alpha"), tokens("Mt Alpha North")) == [(1, "Mt"), (3, " "), (5, "Alpha"), (6, " North")]
 
 
-def test_consensus_of_groups(spark, monkeypatch):
-    monkeypatch.setattr(module, "BLOCK", 8)
+def test_consensus_of_variants(spark):
+    rows = [(1, "Mount Alpha North", 3.0), (1, "Mount Alpha", 1.0), (1, "Mt Alpha North", 1.0), (1, "Mount Alpha North", 1.0), (2, "ab1", 1.0), (2, "ab 1", 1.0), (2, "ab  1", 1.0), (3, "", 1.0), (3, "x", 2.0)]
+    got = {r.key: (r.value, r.consensus, r.n_values) for r in consensus(spark.createDataFrame(rows, "k long, v string, w double"), key=F.col("k"), columns={"v": F.col("v")}, weight=F.col("w")).collect()}
+    assert got[1] == ("Mount Alpha North", "Mount Alpha North", 3) and got[3] == ("x", "x", 2) and got[2][0] in ("ab1", "ab 1", "ab  1") and got[2][2] == 3
+
+
+def test_consensus_of_groups(spark):
     rng = random.Random(3)
     rows = [(1, "Site 12 north ridge", 1.0)] * 3
     for _ in range(120):  # a hot group of many spellings

@@ -49,9 +49,11 @@ def corpus():
 
 
 @pytest.mark.parametrize("substitutions", [0, 1, 2])
-def test_brute_force(spark, substitutions, monkeypatch):
+@pytest.mark.parametrize("most_bits", [28, 3])
+def test_brute_force(spark, substitutions, most_bits, monkeypatch):
     docs, items = corpus()
-    monkeypatch.setattr(module, "BLOCK_WORDS", 300)  # several blocks of items
+    monkeypatch.setattr(module, "LEAST_BITS", 3)
+    monkeypatch.setattr(module, "MOST_BITS", most_bits)  # a filter that lets everything through gives the same
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id long")
     i = spark.createDataFrame(items, "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in leaks(d, i, substitutions=substitutions).collect()]
