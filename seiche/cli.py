@@ -63,9 +63,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
-    from seiche import catalogue, queries
+    from seiche.registered import QUERIES as registered
 
-    registered = catalogue.QUERIES | queries.QUERIES
     if a.command == "list":
         print(json.dumps(sorted(registered), indent=1))
         return 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The constant of the moment magnitude and of its older form.
@@ -140,3 +140,15 @@ def near_field_limit(m: Column, table: list[tuple[float, float]]) -> Column:
     for upper, km in table:
         out = out.when(m < upper, F.lit(km))
     return out.otherwise(F.lit(table[-1][1]))
+
+
+def with_derived_moment(df: DataFrame, magnitude_types: list[str], moment: str = "moment_nm", magnitude: str = "magnitude", kind: str = "magnitude_type") -> DataFrame:
+    """Missing moments from the magnitudes of the given types by the relation of Mlw, and ``moment_derived``.
+
+    Moments that are there stay. Types whose relation is another raise.
+    """
+    if odd := sorted(set(magnitude_types) & {"ML_SIL", "M"}):
+        raise ValueError(f"no moment follows from {odd}")
+    fill = F.col(moment).isNull() & F.col(kind).isin(magnitude_types) & F.col(magnitude).isNotNull()
+    fill = F.coalesce(fill, F.lit(False))
+    return df.withColumns({moment: F.when(fill, moment_from_mlw(F.col(magnitude))).otherwise(F.col(moment)), "moment_derived": fill})

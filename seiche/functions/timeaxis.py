@@ -90,3 +90,15 @@ def half_life_days(tau_years: Column) -> Column:
 
 def tau_years(half_life: Column) -> Column:
     return half_life / TAU_DAYS
+
+
+def time_ns(whole: Column, seconds: Column) -> Column:
+    """Nanoseconds since 1970: whole numbers are such, others are seconds, halves to even; NaN is no time."""
+    exact = F.bround(seconds.cast("decimal(38,18)") * F.lit(1_000_000_000).cast("decimal(10,0)"), 0).cast("long")
+    return F.coalesce(whole, F.when(~F.isnan(seconds), exact))
+
+
+def ordinal(yearf: Column) -> Column:
+    """Days from the first of January of year 1, which is day 1, with their fraction."""
+    year = F.floor(yearf)
+    return F.datediff(year_start(year), F.lit("0001-01-01").cast("date")) + 1 + (yearf - year) * year_length(year)

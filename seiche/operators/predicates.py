@@ -81,7 +81,7 @@ def guarded(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]],
         else:
             columns[c] = F.when(good, F.col(c))
             if with_type and c in with_type:
-                columns[with_type[c]] = F.when(good | F.col(c).isNull(), F.col(with_type[c]))
+                columns[with_type[c]] = F.when(good | number(c).isNull(), F.col(with_type[c]))
     return df.filter(keep).withColumns(columns)
 
 
