@@ -13,7 +13,7 @@ def wrapped(degrees: Column) -> Column:
 
 def normalised_plane(strike: Column, dip: Column, rake: Column) -> Column:
     """Strike in [0, 360), rake in (-180, 180]."""
-    return F.struct(F.pmod(strike, F.lit(360.0)).alias("strike"), dip.alias("dip"), wrapped(rake).alias("rake"))
+    return F.struct((F.pmod(strike, F.lit(360.0)) + 0.0).alias("strike"), dip.alias("dip"), wrapped(rake).alias("rake"))
 
 
 def from_dip_to_180(strike: Column, dip: Column, rake: Column) -> Column:

@@ -29,17 +29,20 @@ def one_file(rows: DataFrame, path: str, header: list[str] = [], order: list[Col
     os.replace(beside, target)
 
 
-def neu_lines(series: DataFrame, scale: float = 1000.0, places: int = 2) -> DataFrame:
-    """``line`` of time, north, its sigma, east, up: millimetres from metres."""
+# Fixed values from here on: the widths and places of the columns of each product's format.
+
+
+def neu_lines(series: DataFrame, scale: float = 1000.0, places: int = 2, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """``line`` of time, north, its sigma, east, up: millimetres from metres; with it the columns to keep."""
     cols = [F.format_string(f"%10.{places}f", number(c) * scale) for c in ("north", "d_north", "east", "d_east", "up", "d_up")]
-    return series.select("yearf", F.concat_ws(" ", F.format_string("%10.5f", "yearf"), *cols).alias("line"))
+    return series.select(*keep, "yearf", F.concat_ws(" ", F.format_string("%10.5f", "yearf"), *cols).alias("line"))
 
 
-def joined_lines(component: DataFrame) -> DataFrame:
+def joined_lines(component: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """``line`` of a component series: epoch, value and sigma, stars for missing ones."""
     shown = lambda c, form, width: F.when(number(c).isNotNull(), F.format_string(form, c)).otherwise("*" * width)
     value, sigma = shown("value", "%12.5f", 12), shown("sigma", "%8.5f", 8)
-    return component.select("yearf", F.concat_ws(" ", F.format_string("%10.5f", "yearf"), value, sigma).alias("line"))
+    return component.select(*keep, "yearf", F.concat_ws(" ", F.format_string("%10.5f", "yearf"), value, sigma).alias("line"))
 
 
 def write_joined(component: DataFrame, path: str, header: tuple[str, str, str]) -> None:
@@ -65,12 +68,27 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def write_csv(df: DataFrame, path: str, provenance: dict[str, object], order: list[str]) -> None:
-    """One CSV after '#' lines of provenance."""
+def csv_lines(df: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """``line`` of each row: quoted where a value holds a comma, a quote or a line break; nulls are empty."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     quoted = [F.when(t.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in texts]
+    return df.select(*keep, F.concat_ws(",", *quoted).alias("line"))
+
+
+def write_csv(df: DataFrame, path: str, provenance: dict[str, object], order: list[str]) -> None:
+    """One CSV after '#' lines of provenance."""
     head = [f"# {k}: {json.dumps(v, sort_keys=True, default=str)}" for k, v in provenance.items()]
-    one_file(df.select(*order, F.concat_ws(",", *quoted).alias("line")), path, [*head, ",".join(df.columns)], order)
+    one_file(csv_lines(df, order), path, [*head, ",".join(df.columns)], order)
+
+
+def aligned(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Adds ``line``, the columns as text of fixed widths (negative: to the left), nulls as -."""
+    cells = []
+    for c, width in widths.items():
+        text = F.coalesce(F.col(c).cast("string"), F.lit("-"))
+        longest = F.greatest(F.length(text), F.lit(abs(width)))
+        cells.append(F.rpad(text, longest, " ") if width < 0 else F.lpad(text, longest, " "))
+    return df.withColumn("line", F.concat(*cells))
 
 
 def write_with_sidecar(df: DataFrame, path: str, provenance: dict[str, object], form: str = "parquet") -> None:
@@ -79,7 +97,7 @@ def write_with_sidecar(df: DataFrame, path: str, provenance: dict[str, object],
     Path(path.rstrip("/") + ".json").write_text(json.dumps(provenance, sort_keys=True, indent=1, default=str) + "\n", encoding="utf-8")
 
 
-def position_lines(positions: DataFrame) -> DataFrame:
+def position_lines(positions: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """``line`` of each solution in position-file columns."""
     f = F.format_string
     xyz = [f("%15.5f", c) for c in ("x", "y", "z")]
@@ -87,7 +105,7 @@ def position_lines(positions: DataFrame) -> DataFrame:
     cor = [f("%6.3f", c) for c in ("rxy", "rxz", "ryz")]
     llh = [f("%15.10f", "lat"), f("%15.10f", F.pmod(F.col("lon"), F.lit(360.0))), f("%10.5f", "height")]
     neu = [f("%10.5f", c) for c in ("dn", "de", "du")] + [f("%8.5f", c) for c in ("sn", "se", "su")] + [f("%6.3f", c) for c in ("rne", "rnu", "reu")]
-    return positions.select("date", F.concat(F.lit(" "), F.concat_ws(" ", "date", "time", f("%10.4f", "mjd"), *xyz, *sig, *cor, *llh, *neu, "soln")).alias("line"))
+    return positions.select(*keep, "date", F.concat(F.lit(" "), F.concat_ws(" ", "date", "time", f("%10.4f", "mjd"), *xyz, *sig, *cor, *llh, *neu, "soln")).alias("line"))
 
 
 def cleaned(series: DataFrame, flags: tuple[str, ...] = ("n_outlier", "e_outlier", "u_outlier")) -> DataFrame:

@@ -11,7 +11,7 @@ from seiche.functions.text import event_type
 from seiche.operators.badrows import FPS_FIELDS
 from seiche.operators.joins import band_join, greedy_pairs
 from seiche.session import written
-from seiche.sources.text import Layout, at, clock_seconds, fixed_width, lines, number, words
+from seiche.sources.text import Layout, Source, at, clock_seconds, fixed_width, lines, number, whole_texts, words
 
 # The layouts of the day files, each with its file, its width and the first and end columns of its fields.
 LAYOUT_TABLE = {
@@ -52,7 +52,7 @@ def _layouts() -> dict[str, list[Layout]]:
 LAYOUTS = _layouts()
 
 
-def day_file(spark: SparkSession, paths: str | list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+def day_file(spark: SparkSession, paths: Source, kind: str) -> tuple[DataFrame, DataFrame]:
     """(records with ``t``, failed lines) of one kind of fixed-width day file."""
     good, failed = fixed_width(lines(spark, paths, pattern=kind), LAYOUTS[kind])
     if kind == "events.ref":
@@ -63,7 +63,7 @@ def day_file(spark: SparkSession, paths: str | list[str], kind: str) -> tuple[Da
     return good.withColumn("t", at(F.try_to_date("date", "yyyyMMdd"), clock_seconds(F.col("time")))), failed
 
 
-def fault_planes(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def fault_planes(spark: SparkSession, paths: Source) -> tuple[DataFrame, DataFrame]:
     """(records with has_solution and ``t``, failed lines) of events.fps files.
 
     Without a solution (source FILE) the planes and what belongs to them are null.
@@ -78,9 +78,9 @@ def fault_planes(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     return good, rows.filter(F.size("w") != 33).select("file", "line_no", "line", F.concat(F.lit("fields "), F.size("w").cast("string")).alias("reason"))
 
 
-def source_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def source_blocks(spark: SparkSession, paths: Source) -> DataFrame:
     """One row a .sp3 or .ap3 file; every field is null where its line is absent."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sa]p3").text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    rows = whole_texts(spark, paths, "*.[sa]p3")
     field = lambda pattern, k=1: F.regexp_extract("value", pattern, k).try_cast("double")
     n = r"\s*(-?[\d.]+(?:E[+-]\d+)?)"
     plane = lambda p, k: field(rf"plane {p}{n}{n}{n}", k)

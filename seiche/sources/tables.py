@@ -78,33 +78,46 @@ def events_table(spark: SparkSession, doc: dict) -> DataFrame:
 
 def areas_table(spark: SparkSession, doc: dict) -> DataFrame:
     """area, station of every section whose name ends in _areas."""
-    rows = sorted({(a, s.upper()) for section, areas in doc.items() if section.endswith("_areas") for a, stations in (areas or {}).items() for s in stations or ()})
+    rows = sorted({(a, s.upper()) for section, areas in doc.items() if section.endswith("_areas") for a, stations in (areas or {}).items() for s in (stations.get("stations") if isinstance(stations, dict) else stations) or ()})
     return spark.createDataFrame(rows, "area string, station string")
 
 
-def parameter_records(spark: SparkSession, path: str, schema: int = 1) -> DataFrame:
+def parameters_of(spark: SparkSession, doc: dict, schema: int = 1) -> DataFrame:
     """station, frame, component, name, value, sigma of a parameter document; another schema raises."""
-    doc = json.loads(Path(path).read_text(encoding="utf-8"))
     if doc.get("schema") != schema:
-        raise ValueError(f"{path}: schema {doc.get('schema')}, not {schema}")
+        raise ValueError(f"parameter schema {doc.get('schema')}, not {schema}")
     rows = [(sta, r.get("frame"), comp, name, float(v[0]), float(v[1]) if len(v) > 1 else None) for sta, r in doc.get("stations", {}).items() for comp, values in r.get("params", {}).items() for name, v in values.items()]
     return spark.createDataFrame(rows, "station string, frame string, component string, name string, value double, sigma double")
 
 
+def parameter_records(spark: SparkSession, path: str, schema: int = 1) -> DataFrame:
+    """``parameters_of`` a file."""
+    return parameters_of(spark, json.loads(Path(path).read_text(encoding="utf-8")), schema)
+
+
+def median_over_networks(rows: DataFrame, fields: tuple[str, ...], day: str = "date", n: str = "num") -> DataFrame:
+    """Per date the median over networks of each field; rows without residuals are dropped, unknown numbers kept."""
+    return rows.filter(F.col(n).isNull() | F.isnan(n) | (F.col(n) > 0)).groupBy(day).agg(*[F.median(number(f)).alias(f) for f in fields])
+
+
 def autcln_daily(spark: SparkSession, path: str) -> DataFrame:
     """Per date the median over networks of each statistic; rows without residuals are dropped, unknown numbers kept."""
     fields = ("rms", "num", "ams", "ams_ratio", "atelv_a", "atelv_b", "atelv_low", "az_absmean", "el_absmean")
     rows = spark.read.option("header", "true").schema("date date, net string, " + ", ".join(f"{f} double" for f in fields)).csv(path)
-    return rows.filter(F.col("num").isNull() | F.isnan("num") | (F.col("num") > 0)).groupBy("date").agg(*[F.median(number(f)).alias(f) for f in fields])
+    return median_over_networks(rows, fields)
 
 
-def hydrology(spark: SparkSession, paths: str | list[str], time: str, values: list[str], start: str, end: str) -> DataFrame:
-    """Yearly CSV files: numbers coerced, rows with a missing value dropped, closed on both ends, repeats kept."""
-    rows = spark.read.option("header", "true").csv(paths)
+def complete_rows(rows: DataFrame, time: str, values: list[str], start: str, end: str) -> DataFrame:
+    """Texts as a time and numbers; rows with a missing value dropped, closed on both ends, repeats kept."""
     rows = rows.select(F.try_to_timestamp(time).cast("timestamp_ntz").alias(time), *[number(F.col(v).try_cast("double")).alias(v) for v in values]).dropna()
     return rows.filter(F.col(time).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
+def hydrology(spark: SparkSession, paths: str | list[str], time: str, values: list[str], start: str, end: str) -> DataFrame:
+    """``complete_rows`` of yearly CSV files."""
+    return complete_rows(spark.read.option("header", "true").csv(paths), time, values, start, end)
+
+
 def multigas(observations: DataFrame, acquisitions: DataFrame, stations: DataFrame, kinds: DataFrame, station: str, start: str, end: str, names: list[str]) -> DataFrame:
     """observation_time and one column a kind, from four tables; the first row of an acquisition is left out.
 
@@ -124,7 +137,7 @@ def through_jdbc(spark: SparkSession, url: str, table: str, column: str, low: in
     return reader.options(**options).load()
 
 
-def plates(spark: SparkSession, path: str) -> DataFrame:
+def plates(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """station, plate of whitespace-separated lines; the last line of a station counts."""
     from seiche.sources.text import lines, words
 

@@ -8,27 +8,60 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None, charset: str = "ISO-8859-1") -> DataFrame:
+#: Where files are read from: paths, or a frame of files already read (file, line_no, line; for whole texts file, value).
+Source = "str | list[str] | DataFrame"
+
+
+def _of_pattern(rows: DataFrame, pattern: str | None) -> DataFrame:
+    """The rows of files whose name matches a shell pattern."""
+    if pattern is None:
+        return rows
+    from seiche.operators.predicates import glob_match
+
+    return rows.filter(glob_match(F.element_at(F.split("file", "/"), -1), [pattern]))
+
+
+def lines(spark: SparkSession, paths: Source, pattern: str | None = None, charset: str = "ISO-8859-1") -> DataFrame:
     """file, line_no (from 1), line of small files, each read whole; compressed ones are left to ``packed_lines``.
 
     For files larger than an executor's memory use ``plain_lines``, which splits them but numbers nothing.
     """
+    if isinstance(paths, DataFrame):
+        return _of_pattern(paths.select("file", "line_no", "line"), pattern)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.load(paths)
     text = rows.filter(~F.col("path").endswith(".gz")).select(F.col("path").alias("file"), F.decode("content", charset).alias("value"))
-    parts = F.split(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", ""), "\n", -1)
-    return text.select("file", F.posexplode(parts).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    return numbered(text, "\n$")
+
+
+def numbered(texts: DataFrame, cut: str = "$^") -> DataFrame:
+    """file, line_no, line of whole texts (file, value); ``cut`` is taken off first."""
+    parts = F.split(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), cut, ""), "\n", -1)
+    return texts.select("file", F.posexplode(parts).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def whole_texts(spark: SparkSession, paths: Source, pattern: str | None = None) -> DataFrame:
+    """file, value of texts read whole; Spark unpacks compressed ones by suffix."""
+    if isinstance(paths, DataFrame):
+        return _of_pattern(paths.select("file", "value"), pattern)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
-def packed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def packed_lines(spark: SparkSession, paths: Source) -> DataFrame:
     """file, line_no, line of files that Spark unpacks by suffix, each read whole."""
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return rows.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n", -1)).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    if isinstance(paths, DataFrame):
+        return paths.select("file", "line_no", "line")
+    return numbered(whole_texts(spark, paths))
 
 
-def plain_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def plain_lines(spark: SparkSession, paths: Source) -> DataFrame:
+    if isinstance(paths, DataFrame):
+        return paths.select("file", "line")
     return spark.read.text(paths).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from seiche.operators.predicates import guarded
 from seiche.operators.stamps import instants
 from seiche.operators.windows import first_per_key
-from seiche.sources.text import number, plain_lines
+from seiche.sources.text import Source, number, plain_lines, whole_texts
 
 
 def utc(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -23,9 +23,9 @@ def utc(df: DataFrame, column: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.timestamp_micros("_us")).drop("_field", "_zone", "_us")
 
 
-def geojson_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def geojson_features(spark: SparkSession, paths: Source) -> DataFrame:
     """file, pos, lon, lat, depth_km (of the coordinates) and properties, a map of names to JSON text."""
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    rows = whole_texts(spark, paths).select("file", F.try_parse_json("value").alias("v"))
     features = rows.select("file", F.posexplode(F.expr("try_variant_get(v, '$.features', 'array<variant>')")).alias("pos", "f"))
     at = lambda k: F.expr(f"try_variant_get(f, '$.geometry.coordinates[{k}]', 'double')")
     props = F.expr("try_cast(try_variant_get(f, '$.properties', 'variant') as map<string,variant>)")
@@ -39,7 +39,7 @@ def prop(name: str, kind: str = "string") -> Column:
     return plain if kind == "string" else plain.try_cast(kind)
 
 
-def geojson_events(spark: SparkSession, paths: str | list[str], source: str) -> DataFrame:
+def geojson_events(spark: SparkSession, paths: Source, source: str) -> DataFrame:
     """Catalogue events of GeoJSON answers: the first of each id, out-of-range values null, further properties kept."""
     rows = geojson_features(spark, paths)
     known = ("event_id", "time", "type", "magnitude", "magnitude_type", "evaluation_mode", "evaluation_status", "depth", "phases", "updated_time")
@@ -58,20 +58,20 @@ EVENT_TEXT = ("event_id", "time", "latitude", "longitude", "depth_km", "author",
 CHANNEL_TEXT = ("network", "station", "location", "channel", "latitude", "longitude", "elevation", "depth", "azimuth", "dip", "sensor", "scale", "scale_freq", "scale_units", "sample_rate", "start_time", "end_time")
 
 
-def _bars(spark: SparkSession, paths: str | list[str], names: tuple[str, ...], numbers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def _bars(spark: SparkSession, paths: Source, names: tuple[str, ...], numbers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     rows = plain_lines(spark, paths).filter("trim(line) <> '' and line not like '#%'").withColumn("p", F.split("line", r"\|", -1))
     good = rows.filter(F.size("p") == len(names)).select("file", *[(number(F.col("p")[k]) if n in numbers else F.nullif(F.trim(F.col("p")[k]), F.lit(""))).alias(n) for k, n in enumerate(names)])
     return good, rows.filter(F.size("p") != len(names)).select("file", "line", F.concat(F.lit("fields "), F.size("p").cast("string")).alias("reason"))
 
 
-def fdsn_events(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def fdsn_events(spark: SparkSession, paths: Source) -> tuple[DataFrame, DataFrame]:
     """(events, failed lines) of FDSN event text; the mode follows from the author."""
     rows, failed = _bars(spark, paths, EVENT_TEXT, ("latitude", "longitude", "depth_km", "magnitude"))
     mode = F.when(F.lower("author").rlike("auto|scauto|scevent"), "automatic").when(F.col("author").isNotNull(), "manual")
     return utc(rows.withColumnRenamed("time", "time_text"), "time_text", "time").drop("time_text").withColumn("evaluation_mode", mode), failed
 
 
-def fdsn_channels(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def fdsn_channels(spark: SparkSession, paths: Source) -> tuple[DataFrame, DataFrame]:
     """(channels, failed lines) of FDSN station text; an open end is null."""
     rows, failed = _bars(spark, paths, CHANNEL_TEXT, ("latitude", "longitude", "elevation", "depth", "azimuth", "dip", "scale", "scale_freq", "sample_rate"))
     return rows.withColumns({c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "")).cast("timestamp_ntz") for c in ("start_time", "end_time")}), failed
@@ -85,7 +85,7 @@ pick ARRAY<STRUCT<_publicID: STRING, time: {_REAL}, phaseHint: STRING>>,
 focalMechanism ARRAY<STRUCT<_publicID: STRING, nodalPlanes: STRUCT<nodalPlane1: STRUCT<strike: {_REAL}, dip: {_REAL}, rake: {_REAL}>, nodalPlane2: STRUCT<strike: {_REAL}, dip: {_REAL}, rake: {_REAL}>>>>"""
 
 
-def quakeml(spark: SparkSession, paths: str | list[str]) -> dict[str, DataFrame]:
+def quakeml(spark: SparkSession, paths: Source) -> dict[str, DataFrame]:
     """events, origins, magnitudes, picks and mechanisms of QuakeML files, keyed by event_id."""
     rows = spark.read.format("xml").option("rowTag", "event").option("ignoreNamespace", "true").schema(_QUAKEML).load(paths)
     rows = rows.withColumn("event_id", F.element_at(F.split("_publicID", "/"), -1))
