@@ -176,3 +176,15 @@ def polygon_wkt(ring: list[tuple[float, float]]) -> str:
     if len(closed) < 4:
         raise ValueError("a polygon has at least three vertices")
     return "POLYGON((" + ", ".join(f"{x!r} {y!r}" for x, y in closed) + "))"
+
+
+def baseline_neu(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], at: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Position a less position b in the local frame (north, east, up) of a third one."""
+    lat, lon, _ = xyz_to_llh(*at)
+    return xyz_to_neu(*(x - y for x, y in zip(a, b)), lat, lon)
+
+
+def signed_root_correlation(root: Column, sigma_a: Column, sigma_b: Column) -> Column:
+    """The correlation from a covariance given as its signed root, within ±1; null without both sigmas."""
+    rho = F.signum(root) * root * root / F.nullif(sigma_a * sigma_b, F.lit(0.0))
+    return F.when(rho.isNotNull() & ~F.isnan(rho), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))
