@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def from_dip_to_180(strike: Column, dip: Column, rake: Column) -> Column:
     return F.when(dip.between(0, 180), normalised_plane(s, d, r))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over one evaluation of ``value``, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def slip_and_normal(strike: Column, dip: Column, rake: Column) -> tuple[list[Column], list[Column]]:
     """(slip, normal) as north, east, down."""
     s, d, r = F.radians(strike), F.radians(dip), F.radians(rake)
@@ -33,31 +40,40 @@ def slip_and_normal(strike: Column, dip: Column, rake: Column) -> tuple[list[Col
     return slip, normal
 
 
+def _vectors(strike: Column, dip: Column, rake: Column, prefix: str = "") -> list[Column]:
+    """The slip and normal as the fields u0 … n2 of a struct."""
+    u, n = slip_and_normal(strike, dip, rake)
+    return [c.alias(f"{prefix}{name}{k}") for name, v in (("u", u), ("n", n)) for k, c in enumerate(v)]
+
+
 def auxiliary_plane(strike: Column, dip: Column, rake: Column) -> Column:
     """The other nodal plane: its normal is the slip of the first, its slip the normal."""
-    u, n = slip_and_normal(strike, dip, rake)
-    up = F.when(u[2] > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    u, n = [c * up for c in u], [c * up for c in n]
-    d = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -u[2])))
-    s = F.atan2(-u[0], u[1])
-    r = F.atan2(-n[2] / F.greatest(F.sin(d), F.lit(1e-12)), n[0] * F.cos(s) + n[1] * F.sin(s))
-    return normalised_plane(F.degrees(s), F.degrees(d), F.degrees(r))
+
+    def other(v: Column) -> Column:
+        up = F.when(v["u2"] > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        u, n = [v[f"u{k}"] * up for k in range(3)], [v[f"n{k}"] * up for k in range(3)]
+        d = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -u[2])))
+        s = F.atan2(-u[0], u[1])
+        r = F.atan2(-n[2] / F.greatest(F.sin(d), F.lit(1e-12)), n[0] * F.cos(s) + n[1] * F.sin(s))
+        return normalised_plane(F.degrees(s), F.degrees(d), F.degrees(r))
+
+    given = F.struct(strike.alias("s"), dip.alias("d"), rake.alias("r"))
+    return let(given, lambda p: let(F.struct(*_vectors(p["s"], p["d"], p["r"])), other))
 
 
 def plane_angle(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
     """The larger of the angles between the normals and between the slips of two planes, in degrees."""
-    (ua, na), (ub, nb) = slip_and_normal(*a), slip_and_normal(*b)
-    dot = lambda p, q: sum((x * y for x, y in zip(p[1:], q[1:])), p[0] * q[0])
+    given = F.struct(*[c.alias(f"{p}{k}") for p, plane in (("a", a), ("b", b)) for k, c in enumerate(plane)])
+    both = lambda g: F.struct(*_vectors(g["a0"], g["a1"], g["a2"], "a"), *_vectors(g["b0"], g["b1"], g["b2"], "b"))
+    dot = lambda v, name: sum((v[f"a{name}{k}"] * v[f"b{name}{k}"] for k in (1, 2)), v[f"a{name}0"] * v[f"b{name}0"])
     angle = lambda c: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
-    same = F.greatest(angle(dot(na, nb)), angle(dot(ua, ub)))
-    turned = F.greatest(angle(-dot(na, nb)), angle(-dot(ua, ub)))
-    return F.least(same, turned)
+    smaller = lambda q: F.least(F.greatest(angle(q["n"]), angle(q["u"])), F.greatest(angle(-q["n"]), angle(-q["u"])))
+    return let(given, lambda g: let(both(g), lambda v: let(F.struct(dot(v, "n").alias("n"), dot(v, "u").alias("u")), smaller)))
 
 
 def same_plane(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
     """Angle between plane a and the auxiliary of plane b."""
-    other = auxiliary_plane(*b)
-    return plane_angle(a, (other["strike"], other["dip"], other["rake"]))
+    return let(auxiliary_plane(*b), lambda o: plane_angle(a, (o["strike"], o["dip"], o["rake"])))
 
 
 def inconsistent(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], tolerance_deg: float) -> Column:

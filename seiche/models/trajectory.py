@@ -100,3 +100,38 @@ def shared_decay(df: DataFrame, keys: list[str], t: str, y: str, sigma: str, *,
     total = parts.groupBy("tau").agg(F.sum("chi2").alias("chi2"), F.count("*").alias("n_series"))
     least = total.agg(F.min(F.struct("chi2", "tau")).alias("b"))
     return total.join(least).select("tau", "chi2", "n_series", (F.col("tau") == F.col("b.tau")).alias("best"))
+
+
+def fitted_function(df: DataFrame, keys: list[str], x: str, y: str, f, start: tuple[float, ...], rounds: int = 100) -> DataFrame:
+    """keys, p0, p1, ..., n of a user's model f(x, *p) fitted to each group by damped least squares.
+
+    A model that is not linear needs the rows of a group together: groups are to be of a size that one
+    task can hold, like a station's series. Linear ones are fitted by ``fitted``, which has no such bound.
+    """
+    schema = ", ".join([*[f"`{g.name}` {g.dataType.simpleString()}" for g in df.schema if g.name in keys], *[f"p{k} double" for k in range(len(start))], "n long"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        ok = np.isfinite(a) & np.isfinite(b)
+        a, b, p, damp = a[ok], b[ok], np.array(start, float), 1e-3
+        cost = lambda q: float(np.sum((b - f(a, *q)) ** 2))
+        now = cost(p)
+        for _ in range(rounds):
+            step = 1e-6 * np.maximum(np.abs(p), 1e-3)
+            j = np.stack([(f(a, *(p + s)) - f(a, *(p - s))) / (2 * step[k]) for k, s in enumerate(np.diag(step))], 1)
+            m, g = j.T @ j, j.T @ (b - f(a, *p))
+            try:
+                move = np.linalg.solve(m + damp * np.diag(np.maximum(np.diag(m), 1e-12)), g)
+            except np.linalg.LinAlgError:
+                break
+            new = cost(p + move)
+            if new <= now:
+                p, damp, done = p + move, damp / 3, now - new <= 1e-14 * max(now, 1e-300)
+                now = new
+                if done:
+                    break
+            else:
+                damp *= 4
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {f"p{k}": [v] for k, v in enumerate(p)} | {"n": [int(ok.sum())]})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)

@@ -249,3 +249,53 @@ def resolved_twins(rows: DataFrame, *, event: str, system: str, reviewed_system:
     alone = autos.join(picks.select(event), event, "left_anti").withColumn("auto_value", F.col(auto_value))
     n = one.groupBy(event).agg(F.count("*").alias("n_solutions"))
     return kept.unionByName(alone).join(n, event)
+
+
+def near_pairs(a: DataFrame, b: DataFrame, *, order: tuple[str, ...] = ()) -> DataFrame:
+    """a_id, b_id: one to one by time and place, the smallest |dt|/seconds + distance/km first.
+
+    ``a`` has id, t (seconds), lat, lon; ``b`` also s and km, its own tolerances (inclusive; one of 0
+    matches nothing).
+    """
+    from seiche.functions.geo import equirectangular_km
+
+    left = a.select(F.col("id").alias("a_id"), F.col("t").alias("a_t"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    right = b.filter("s > 0 and km > 0").select(F.col("id").alias("b_id"), F.col("t").alias("b_t"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "s", "km")
+    # One row: the widest tolerance is the width of the buckets.
+    widest = right.agg(F.max("s")).head()[0] or 1.0
+    edges = band_join(left, right, "a_t", "b_t", widest)
+    edges = edges.withColumns({"dt": F.abs(F.col("a_t") - F.col("b_t")), "d": equirectangular_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))}).filter("dt <= s and d <= km")
+    return greedy_pairs(edges, "a_id", "b_id", [F.col("dt") / F.col("s") + F.col("d") / F.col("km"), *[F.col(c) for c in order]])
+
+
+def catalogue_matches(a: DataFrame, b: DataFrame, *, tolerances: list[tuple[str, float, float]], id_joins: list[tuple[str, str, str]] = []) -> dict[str, DataFrame]:  # noqa: B006
+    """pairs, unmatched_a, unmatched_b, steps and summary of two catalogues (id, t, lat, lon, magnitude and key columns).
+
+    Equal keys that are unique on both sides match first, join by join (label, column of a, column of
+    b); then the tolerances (label, seconds, km) in order, each over what the ones before left. Pairs
+    carry the step, dt_s and dmag (b less a) and dist_km; steps the medians and 95th percentiles.
+    """
+    from seiche.functions.geo import equirectangular_km
+
+    done: DataFrame | None = None
+    summary: list[tuple[str, DataFrame]] = []
+    for label, ka, kb in id_joins:
+        left, right = (a, b) if done is None else (a.join(done.select(F.col("a_id").alias("id")), "id", "left_anti"), b.join(done.select(F.col("b_id").alias("id")), "id", "left_anti"))
+        x, y = left.select(F.col("id").alias("a_id"), F.col(ka).alias("ka")), right.select(F.col("id").alias("b_id"), F.col(kb).alias("kb"))
+        new = written(unique_key_join(x, y, "ka", "kb").select("a_id", "b_id", F.lit(f"id:{label}").alias("step")), "matched-by-id")
+        summary.append((f"ambiguous:{label}", ambiguous_keys(x, y, "ka", "kb")))
+        done = new if done is None else done.unionByName(new)
+    for label, seconds, km in tolerances:
+        left, right = (a, b) if done is None else (a.join(done.select(F.col("a_id").alias("id")), "id", "left_anti"), b.join(done.select(F.col("b_id").alias("id")), "id", "left_anti"))
+        new = written(catalogue_match(left, right, seconds=seconds, km=km).withColumn("step", F.lit(label)), "matched-near")
+        done = new if done is None else done.unionByName(new)
+    own = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "lat", "lon", "magnitude")])
+    pairs = done.join(own(a, "a"), "a_id").join(own(b, "b"), "b_id")
+    pairs = pairs.select("a_id", "b_id", "step", (F.col("b_t") - F.col("a_t")).alias("dt_s"), equirectangular_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("dist_km"), (F.col("b_magnitude") - F.col("a_magnitude")).alias("dmag"))
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    steps = pairs.groupBy("step").agg(F.count("*").alias("n"), q(F.abs("dt_s"), 0.5).alias("dt_median"), q(F.abs("dt_s"), 0.95).alias("dt_p95"), q(F.col("dist_km"), 0.5).alias("km_median"), q(F.col("dist_km"), 0.95).alias("km_p95"))
+    un_a, un_b = a.join(done.select(F.col("a_id").alias("id")), "id", "left_anti"), b.join(done.select(F.col("b_id").alias("id")), "id", "left_anti")
+    counts = a.agg(F.lit("n_a").alias("what"), F.count("*").alias("n"))
+    for what, df in (("n_b", b), ("matched", done), ("unmatched_a", un_a), ("unmatched_b", un_b), *summary):
+        counts = counts.unionByName(df.agg(F.lit(what).alias("what"), F.count("*").alias("n")))
+    return {"pairs": pairs, "unmatched_a": un_a, "unmatched_b": un_b, "steps": steps, "summary": counts}

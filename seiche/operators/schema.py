@@ -141,3 +141,9 @@ def validated(df: DataFrame, specs: Iterable[Spec], examples: int = 5) -> DataFr
         spark = df.sparkSession
         out = out.unionByName(spark.createDataFrame([(n, "missing column", None, None, None) for n in absent], "column string, issue string, n long, least string, greatest string"))
     return out
+
+
+def ordered(df: DataFrame, first: Iterable[str]) -> DataFrame:
+    """The listed columns that are there first, then the others in their order."""
+    head = [c for c in first if c in df.columns]
+    return df.select(*[F.col(f"`{c}`") for c in [*head, *[c for c in df.columns if c not in head]]])

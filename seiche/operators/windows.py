@@ -138,3 +138,32 @@ def excursion(df: DataFrame, partition: list[str], day_number: str, value: str,
             "noise": rolling_quantile("_step", 0.5, partition, day_number, scale_days // 2, scale_least) * (1.4826 / 2**0.5),
         }
     ).drop("_step")
+
+
+def bumps(episodes_: DataFrame, days: DataFrame, partition: list[str], day: str, up: str, ratio: str, noise: str, *, flank_days: int = 20, least_ratio: float = 1.2, noise_times: float = 3.0, least_mm: float = 10.0) -> DataFrame:
+    """Episodes (first, last) with ``kept`` and ``provisional``: whether the days of one are a bump and not a step or a trend.
+
+    The median ratio inside must exceed ``least_ratio``. With no data after it an episode is kept on that
+    alone, provisionally; with none before it is not. Else the median rise above the chord between
+    the levels of the flanks, and the 90th percentile above the level after it, must both exceed
+    the larger of ``noise_times`` the median noise and ``least_mm``. A day meets the few episodes of its
+    partition whose flanks reach it.
+    """
+    e = episodes_.withColumn("_e", F.struct(*partition, "first", "last"))
+    reach = e.select(*partition, "_e", F.explode(F.sequence(F.date_sub("first", flank_days), F.date_add("last", flank_days))).alias(day))
+    rows = reach.join(days, [*partition, day])
+    d, first, last = F.col(day), F.col("_e.first"), F.col("_e.last")
+    before, inside, after = d < first, (d >= first) & (d <= last), d > last
+    level = rows.groupBy("_e").agg(
+        F.median(F.when(before, number(up))).alias("_b"), F.median(F.when(after, number(up))).alias("_a"), F.median(F.when(inside, number(ratio))).alias("_r"), F.median(F.when(inside, number(noise))).alias("_n"),
+        F.percentile(F.when(inside, number(up)), F.lit(0.9)).alias("_p"),
+    )
+    share = (F.datediff(d, first) + 0.5) / (F.datediff(last, first) + 1)
+    chord = F.col("_b") + (F.col("_a") - F.col("_b")) * share
+    rise = rows.join(level, "_e").groupBy("_e").agg(F.median(F.when(inside, number(up) - chord)).alias("_rise"))
+    need = F.greatest(noise_times * F.col("_n"), F.lit(least_mm))
+    out = level.join(rise, "_e")
+    strong = F.coalesce(F.col("_r") > least_ratio, F.lit(False))
+    bump = F.coalesce((F.col("_rise") > need) & (F.col("_p") - F.col("_a") > need), F.lit(False))
+    alone = F.col("_a").isNull()
+    return out.select("_e.*", (strong & (alone | (F.col("_b").isNotNull() & bump))).alias("kept"), (strong & alone).alias("provisional"))

@@ -141,3 +141,37 @@ def write_xlsx(df: DataFrame, path: str, provenance: dict[str, object], most: in
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in parts.items():
             z.writestr(name, body)
+
+
+def upserted_row(text: str, row: str) -> str:
+    """A CSV's text with the row of the same first field replaced, or the row at its end."""
+    key = row.split(",", 1)[0]
+    lines_ = text.splitlines()
+    hit = [k for k, line in enumerate(lines_) if line.split(",", 1)[0] == key]
+    for k in hit[:1]:
+        lines_[k] = row
+    return "\n".join(lines_ if hit else [*lines_, row]) + "\n"
+
+
+def _write_lines(lines_of):
+    return lambda df, path, provenance: one_file(lines_of(df), path, [f"# {k}: {json.dumps(v, sort_keys=True, default=str)}" for k, v in provenance.items()], ["station"])
+
+
+#: What writes a set of records, by the suffix of the file; the maps leave refused records out.
+WRITERS = {
+    ".gbis.txt": _write_lines(gbis_lines), ".gmt": _write_lines(gmt_lines), ".jsonl": lambda df, path, provenance: one_file(json_lines(df), path, [], ["line"]),
+    ".csv": lambda df, path, provenance: write_csv(df, path, provenance, ["station"]), ".xlsx": lambda df, path, provenance: write_xlsx(df, path, provenance),
+}
+
+
+def writer_of(path: str):
+    """The writer of a path's suffix; an unknown one raises."""
+    for suffix, writer in WRITERS.items():
+        if path.endswith(suffix):
+            return writer
+    raise ValueError(f"{path}: no writer, but of {sorted(WRITERS)}")
+
+
+def write_records(df: DataFrame, path: str, provenance: dict[str, object]) -> None:
+    """A set of records as its suffix says."""
+    writer_of(path)(df, path, provenance)

@@ -69,3 +69,36 @@ def reviewed_over_automatic(rows: DataFrame, key: str, mode: str, order: list[st
     rest = [c for c in rows.columns if c != key]
     rank = F.struct((F.col(mode) == "manual").alias("r"), *order, F.struct(*rest).alias("_row"))
     return rows.groupBy(key).agg(F.max(rank).getField("_row").alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """Files (file, size, mtime) that are new, or not of the size and time they had when they were last taken."""
+    known = state.select("file", F.col("size").alias("_s"), F.col("mtime").alias("_m"))
+    rows = listing.join(known, "file", "left")
+    return rows.filter("_s is null or _s <> size or _m <> mtime").select("file", "size", "mtime")
+
+
+def harvested(current: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """The table with the rows of the files read again in the place of those of the same keys."""
+    return upserted(current.withColumn("_run", F.lit(0)), fresh.withColumn("_run", F.lit(1)), keys, ["_run"]).drop("_run")
+
+
+def harvest_state(state: DataFrame, taken: DataFrame) -> DataFrame:
+    """The state after a run: what was taken replaces what was known of the same files."""
+    return state.join(taken.select("file"), "file", "left_anti").unionByName(taken)
+
+
+def gathered_days(cached: DataFrame, wanted: DataFrame, today: object, *, day: str = "day", recent_days: int = 30, refresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cached rows that may be used, days to be read anew) of the wanted days.
+
+    A day is final once it is more than ``recent_days`` old; a younger one is always read again and never
+    kept, so rows may come that late.
+    """
+    final = F.datediff(F.lit(today).cast("date"), F.col(day)) > recent_days
+    have = cached.select(day).distinct().filter(final & F.lit(not refresh))
+    return cached.join(have.join(wanted.select(day).distinct(), day), day, "left_semi"), wanted.select(day).distinct().join(have, day, "left_anti")
+
+
+def storable_days(read: DataFrame, today: object, *, day: str = "day", recent_days: int = 30) -> DataFrame:
+    """Of the rows just read those of final days: what goes into the cache."""
+    return read.filter(F.datediff(F.lit(today).cast("date"), F.col(day)) > recent_days)
