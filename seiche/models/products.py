@@ -26,13 +26,11 @@ def to_velocity(records: DataFrame, years: Column, value: str = "displacement",
 def steps_removed(series: DataFrame, steps: DataFrame, keys: list[str], t: str, y: str, out: str) -> DataFrame:
     """Adds ``out``: y less the amplitudes of the key's steps (epoch, amplitude) at or before its epoch.
 
-    By a cumulative sum over the union of rows and steps: no pairs are made.
+    A key has a few steps: they are one small array, summed within the row.
     """
-    s = steps.select(*keys, F.col("epoch").alias(t), F.col("amplitude").alias("_a"), F.lit(0).alias("_row"))
-    rows = series.withColumns({"_a": F.lit(0.0), "_row": F.lit(1)})
-    w = W.partitionBy(*keys).orderBy(t, "_row").rowsBetween(W.unboundedPreceding, 0)
-    both = rows.unionByName(s, allowMissingColumns=True).withColumn("_sum", F.sum("_a").over(w))
-    return both.filter("_row = 1").withColumn(out, F.col(y) - F.col("_sum")).drop("_a", "_row", "_sum")
+    few = steps.groupBy(*keys).agg(F.collect_list(F.struct("epoch", "amplitude")).alias("_steps"))
+    total = F.aggregate(F.filter("_steps", lambda s: s["epoch"] <= F.col(t)), F.lit(0.0), lambda a, s: a + s["amplitude"])
+    return series.join(few, keys, "left").withColumn(out, F.col(y) - F.coalesce(total, F.lit(0.0))).drop("_steps")
 
 
 def anchored_offset(y: str, model: Column, sigma: str) -> Column:

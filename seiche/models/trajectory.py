@@ -90,16 +90,20 @@ def detrended(df: DataFrame, parameters: DataFrame, keys: list[str], t: str, y:
 def shared_decay(df: DataFrame, keys: list[str], t: str, y: str, sigma: str, *, onset: float, taus: list[float]) -> DataFrame:
     """tau, chi2, n_series, best: the misfit of all series after ``onset`` for each relaxation time.
 
-    Every tau is fitted to every series in one job; the smallest total misfit is the shared one.
+    Every tau is tried on every series in one scan and one aggregation; the smallest total misfit is the
+    shared one.
     """
-    rows = df.filter(F.col(t) >= onset)
-    parts = None
-    for tau in taus:
-        fit = fitted(rows, keys, t, y, sigma, seasons=(), origin=onset, extra=(Term("exp", onset, tau),)).select(F.lit(tau).alias("tau"), "chi2")
-        parts = fit if parts is None else parts.unionByName(fit)
-    total = parts.groupBy("tau").agg(F.sum("chi2").alias("chi2"), F.count("*").alias("n_series"))
-    least = total.agg(F.min(F.struct("chi2", "tau")).alias("b"))
-    return total.join(least).select("tau", "chi2", "n_series", (F.col("tau") == F.col("b.tau")).alias("best"))
+    from pyspark.sql import Window as W
+
+    from seiche.models.records import _solved
+
+    x = F.col(t) - onset
+    rows = df.filter(F.col(t) >= onset).withColumn("_tau", F.explode(F.array(*[F.lit(float(v)) for v in taus])))
+    columns = {"offset": F.lit(1.0), "rate": x, "amplitude": 1 - F.exp(-x / F.col("_tau"))}
+    misfit = _solved(normal_sums(rows, [*keys, "_tau"], columns, y, sigma), [*keys, "_tau"], 20)
+    total = misfit.groupBy(F.col("_tau").alias("tau")).agg(F.sum("chi2").alias("chi2"), F.count("*").alias("n_series"))
+    # One row a tau.
+    return total.withColumn("best", F.row_number().over(W.orderBy("chi2", "tau")) == 1).select("tau", "chi2", "n_series", "best")
 
 
 def fitted_function(df: DataFrame, keys: list[str], x: str, y: str, f, start: tuple[float, ...], rounds: int = 100) -> DataFrame:

@@ -58,11 +58,45 @@ def bucket_medians(df: DataFrame, time: str, width: str, values: list[str], keys
     return rows.select(*keys, F.col("window.start").alias("bucket"), *values, "n")
 
 
+def _bin(value: str) -> Column:
+    """A whole number that orders as the value does: Java's log1p is semi-monotonic by its specification."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 256).cast("long")
+
+
+def _keyed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """_k (the keys as one struct, which joins with its nulls) and the finite values _v, with their bin _b."""
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    rows = df.select((F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")).alias("_k"), F.when(finite, F.col(value)).cast("double").alias("_v"))
+    return rows.filter(F.col("_v").isNotNull()).withColumn("_b", _bin("_v"))
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], names: list[str]) -> DataFrame:
+    """keys, n and exact linear quantiles of the finite values; null where a group has none.
+
+    Values are counted in bins first (combined in the map tasks), and only the bins that hold the wanted
+    ranks are looked into, equal values as one row: a group with a third of all rows is in no buffer.
+    """
+    rows = _keyed(df, keys, value)
+    w = W.partitionBy("_k")
+    bins = rows.groupBy("_k", "_b").agg(F.count("*").alias("n")).withColumns({"all": F.sum("n").over(w), "below": F.sum("n").over(w.orderBy("_b")) - F.col("n")})
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(q)) * (F.col("all") - 1)).alias("at")) for k, q in enumerate(quantiles)])
+    wanted = bins.withColumn("s", F.explode(spots)).withColumn("r", F.explode(F.array(F.floor("s.at"), F.ceil("s.at")))).select("_k", "_b", "below", "n", "s", F.col("r").cast("long").alias("r")).distinct()
+    wanted = wanted.filter((F.col("r") >= F.col("below")) & (F.col("r") < F.col("below") + F.col("n"))).drop("n")
+    held = rows.join(wanted.select("_k", "_b").distinct(), ["_k", "_b"]).groupBy("_k", "_b", "_v").agg(F.count("*").alias("m"))
+    held = held.withColumn("upto", F.sum("m").over(W.partitionBy("_k", "_b").orderBy("_v")))
+    at = wanted.join(held, ["_k", "_b"]).filter((F.col("r") - F.col("below") >= F.col("upto") - F.col("m")) & (F.col("r") - F.col("below") < F.col("upto")))
+    at = at.groupBy("_k", F.col("s.k").alias("k"), F.col("s.at").alias("at")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    value_at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
+    wide = at.groupBy("_k").agg(*[F.max(F.when(F.col("k") == k, value_at)).alias(name) for k, name in enumerate(names)])
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    groups = df.groupBy(*keys).agg(F.count(F.when(finite, F.col(value))).alias("n"))
+    groups = groups.withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
+    return groups.join(wide, "_k", "left").drop("_k")
+
+
 def quantile_summary(df: DataFrame, value: str, quantiles: list[float], keys: list[str] = []) -> DataFrame:  # noqa: B006
     """n and exact linear quantiles of the finite values; null when there are none."""
-    v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    aggs = [F.count(v).alias("n"), *[F.percentile(v, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in quantiles]]
-    return df.groupBy(*keys).agg(*aggs)
+    return group_quantiles(df, keys, value, quantiles, [f"q{round(q * 100):02d}" for q in quantiles])
 
 
 def weighted_mean(value: str, sigma: str, power: int = 2) -> tuple[Column, Column]:
@@ -116,26 +150,40 @@ def line_rate(df: DataFrame, keys: list[str], t: str, value: str, sigma: str | N
     return sums.filter(F.col("n") >= least).select(*keys, rate.alias("rate"), F.sqrt(scale / F.col("_xx")).alias("rate_sigma"), "t0", "offset", "n")
 
 
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, order: list[str], share: int = 3, least: int = 3) -> DataFrame:
-    """Mean of the middle: floor(n/share) values are left out at either end; null with fewer than ``least``."""
-    rows = df.filter(missing(value).isNotNull())
-    w = W.partitionBy(*keys)
-    rows = rows.withColumns({"_r": F.row_number().over(w.orderBy(value, *order)), "_n": F.count("*").over(w)})
-    cut = F.floor(F.col("_n") / share)
-    middle = F.when((F.col("_n") >= least) & (F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut), F.col(value))
-    return rows.groupBy(*keys).agg(F.avg(middle).alias("trimmed_mean"), F.count("*").alias("n"))
+def trimmed_mean(df: DataFrame, keys: list[str], value: str, order: list[str] = [], share: int = 3, least: int = 3) -> DataFrame:  # noqa: B006
+    """Mean of the middle: floor(n/share) values are left out at either end; null with fewer than ``least``.
+
+    Whole bins of values count by their sums; only the two bins where the ends are cut are looked into.
+    Equal values are alike, so that their ``order`` does not matter.
+    """
+    rows = _keyed(df, keys, value)
+    w = W.partitionBy("_k")
+    bins = rows.groupBy("_k", "_b").agg(F.count("*").alias("n"), F.sum("_v").alias("s")).withColumns({"all": F.sum("n").over(w), "below": F.sum("n").over(w.orderBy("_b")) - F.col("n")})
+    cut = F.floor(F.col("all") / share)
+    middle = lambda below, n: F.greatest(F.lit(0), F.least(below + n, F.col("all") - cut) - F.greatest(below, cut))
+    bins = bins.withColumn("k", middle(F.col("below"), F.col("n")))
+    whole = bins.filter("k = n").select("_k", "all", F.col("s").alias("part"), "k")
+    part = rows.join(bins.filter("k > 0 and k < n").select("_k", "_b", "all", "below"), ["_k", "_b"]).groupBy("_k", "_b", "_v", "all", "below").agg(F.count("*").alias("m"))
+    part = part.withColumn("at", F.col("below") + F.sum("m").over(W.partitionBy("_k", "_b").orderBy("_v")) - F.col("m")).withColumn("k", middle(F.col("at"), F.col("m")))
+    both = whole.unionByName(part.select("_k", "all", (F.col("_v") * F.col("k")).alias("part"), "k"))
+    means = both.groupBy("_k").agg((F.sum("part") / F.nullif(F.sum("k"), F.lit(0))).alias("mean"), F.max("all").alias("n"))
+    groups = df.filter(missing(value).isNotNull()).select(*keys).distinct().withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    return groups.join(means, "_k").select(*keys, F.when(F.col("n") >= least, F.col("mean")).alias("trimmed_mean"), "n")
 
 
 def end_shift(df: DataFrame, keys: list[str], value: str, order: list[str], n: int) -> DataFrame:
-    """Mean of the last n values less the mean of the first n."""
+    """Mean of the last n values less the mean of the first n; Spark keeps n rows a key in the map tasks."""
+    rows = df.filter(missing(value).isNotNull())
     w = W.partitionBy(*keys)
-    rows = df.filter(missing(value).isNotNull()).withColumns({"_f": F.row_number().over(w.orderBy(*order)), "_l": F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))})
-    return rows.groupBy(*keys).agg((F.avg(F.when(F.col("_l") <= n, F.col(value))) - F.avg(F.when(F.col("_f") <= n, F.col(value)))).alias("shift"))
+    end = lambda by: rows.withColumn("_r", F.row_number().over(w.orderBy(*by))).filter(F.col("_r") <= n)
+    first = end([F.col(c) for c in order]).groupBy(*keys).agg(F.avg(value).alias("_f"))
+    last = end([F.col(c).desc() for c in order]).groupBy(*keys).agg(F.avg(value).alias("_l"))
+    return first.join(last, keys).select(*keys, (F.col("_l") - F.col("_f")).alias("shift"))
 
 
 def group_difference_from_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds centre, the median of the group, and departure from it."""
-    centre = df.groupBy(*keys).agg(F.median(missing(value)).alias("centre"))
+    centre = group_quantiles(df, keys, value, [0.5], ["centre"]).drop("n")
     return df.join(centre, keys).withColumn("departure", F.col(value) - F.col("centre"))
 
 

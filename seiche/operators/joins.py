@@ -64,14 +64,12 @@ def valid_at(facts: DataFrame, periods: DataFrame, time: str, start: str, end: s
 def step_sums(series: DataFrame, rules: DataFrame, time: str, before: str, amount: str, keys: list[str], out: str) -> DataFrame:
     """Adds the sum of the amounts of all rules of a key whose ``before`` lies after the row's time (strictly).
 
-    By a cumulative sum over the union of rows and rules: no pairs are made.
+    Rules are reviewed by hand, a few a key: they are one small array, summed within the row, so that a
+    key with a third of all rows needs no task of its own.
     """
-    r = rules.select(*keys, F.col(before).alias(time), F.col(amount).alias("_a"), F.lit(0).alias("_row"))
-    s = series.withColumns({"_a": F.lit(0.0), "_row": F.lit(1)})
-    # From late to early; at one time the rows come before the rules, which then do not count.
-    w = W.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_row").desc()).rowsBetween(W.unboundedPreceding, 0)
-    both = s.unionByName(r, allowMissingColumns=True).withColumn(out, F.sum(F.col("_a")).over(w))
-    return both.filter("_row = 1").drop("_a", "_row")
+    few = rules.groupBy(*keys).agg(F.collect_list(F.struct(F.col(before).alias("at"), F.col(amount).alias("a"))).alias("_rules"))
+    total = F.aggregate(F.filter("_rules", lambda r: F.col(time) < r["at"]), F.lit(0.0), lambda s, r: s + r["a"])
+    return series.join(few, keys, "left").withColumn(out, F.coalesce(total, F.lit(0.0))).drop("_rules")
 
 
 def ordinal_join(a: DataFrame, b: DataFrame, keys: list[str], order_a: str, order_b: str, how: str = "left") -> DataFrame:
@@ -164,15 +162,35 @@ def catalogue_match(a: DataFrame, b: DataFrame, *, seconds: float, km: float, ke
     return found if pairs is None else pairs.unionByName(found)
 
 
-def _banded(points: DataFrame, stations: DataFrame, km: float) -> DataFrame:
-    """Points with the stations (_s, _lat, _lon, ...) within ``km``, met through bands of latitude, and the distance."""
-    from seiche.functions.geo import KM_PER_DEGREE, equirectangular_km
+def _cell_size(band: Column, size: float) -> Column:
+    """Degrees of longitude of a cell in a band of latitude: ``size`` degrees of distance at its neighbours' far edge."""
+    edge = F.least((F.abs(band + F.lit(0.5)) + 1.5) * size, F.lit(89.9))
+    return size / F.cos(F.radians(edge))
+
+
+def _in_cells(rows: DataFrame, lat: str, lon: str, km: float, around: bool) -> DataFrame:
+    """Adds _y and _x, the cell of ``km`` a row is in, or with ``around`` one row for each cell about it.
+
+    Each band of latitude has cells of its own width, so that what is within ``km`` is in the same cell or
+    in one beside it.
+    """
+    from seiche.functions.geo import KM_PER_DEGREE
 
     size = km / KM_PER_DEGREE
-    band = lambda c: F.floor(F.col(c) / size)
-    left = points.filter("lat is not null and lon is not null").withColumn("_y", band("lat"))
-    right = stations.withColumn("_y", F.explode(F.array(band("_lat") - 1, band("_lat"), band("_lat") + 1)))
-    pairs = left.join(right, "_y").drop("_y")
+    y = F.floor(F.col(lat) / size)
+    cell = lambda band: F.floor(F.col(lon) / _cell_size(band, size))
+    if not around:
+        return rows.withColumn("_y", y).withColumn("_x", cell(F.col("_y")))
+    rows = rows.withColumn("_y", F.explode(F.array(y - 1, y, y + 1)))
+    return rows.withColumn("_x", cell(F.col("_y"))).withColumn("_x", F.explode(F.array(F.col("_x") - 1, F.col("_x"), F.col("_x") + 1)))
+
+
+def _banded(points: DataFrame, stations: DataFrame, km: float) -> DataFrame:
+    """Points with the stations (_s, _lat, _lon, ...) within ``km``, met through cells of that size, and the distance."""
+    from seiche.functions.geo import equirectangular_km
+
+    left = _in_cells(points.filter("lat is not null and lon is not null"), "lat", "lon", km, False)
+    pairs = left.join(_in_cells(stations, "_lat", "_lon", km, True), ["_y", "_x"]).drop("_y", "_x")
     return pairs.withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).filter(F.col("km") <= km)
 
 
@@ -199,13 +217,11 @@ def k_nearest(points: DataFrame, stations: DataFrame, k: int, *, point: str, sta
 
 def pairs_within(stations: DataFrame, *, station: str, max_km: float) -> DataFrame:
     """Pairs of stations (a before b) no more than ``max_km`` apart, met through cells of that size."""
-    from seiche.functions.geo import KM_PER_DEGREE, equirectangular_km
+    from seiche.functions.geo import equirectangular_km
 
-    size = max_km / KM_PER_DEGREE
     s = stations.select(F.col(station).alias("a"), "lat", "lon").filter("lat is not null and lon is not null")
-    a = s.withColumn("_y", F.floor(F.col("lat") / size))
-    b = s.select(F.col("a").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).withColumn("_y", F.explode(F.sequence(F.floor(F.col("b_lat") / size) - 1, F.floor(F.col("b_lat") / size) + 1)))
-    pairs = a.join(b, "_y").filter("a < b").withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")))
+    b = _in_cells(s.select(F.col("a").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), "b_lat", "b_lon", max_km, True)
+    pairs = _in_cells(s, "lat", "lon", max_km, False).join(b, ["_y", "_x"]).filter("a < b").withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")))
     return pairs.filter(F.col("km") <= max_km).select("a", "b", "km")
 
 

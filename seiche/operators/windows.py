@@ -108,13 +108,15 @@ def day_spine(df: DataFrame, partition: list[str], day: str) -> DataFrame:
 def mad_kept(df: DataFrame, partition: list[str], value: str, times: float, floor: float = 0.0) -> DataFrame:
     """Rows within ``times`` scaled median absolute deviations of their group's median.
 
-    Two aggregations joined back by group; the medians are one row a group.
+    Two exact medians by bins of values, joined back by group; they are one row a group.
     """
+    from seiche.operators.aggregates import group_quantiles
+
     rows = df.withColumn("_v", number(value))
-    centre = rows.groupBy(*partition).agg(F.median("_v").alias("_m"))
-    rows = rows.join(centre, partition)
-    spread = rows.withColumn("_d", F.abs(F.col("_v") - F.col("_m"))).groupBy(*partition).agg((1.4826 * F.median("_d")).alias("_s"))
-    return rows.join(spread, partition).filter(F.abs(F.col("_v") - F.col("_m")) <= times * F.greatest("_s", F.lit(floor))).drop("_v", "_m", "_s")
+    centre = group_quantiles(rows, partition, "_v", [0.5], ["_m"]).drop("n")
+    rows = rows.join(centre, partition).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+    spread = group_quantiles(rows, partition, "_d", [0.5], ["_s"]).drop("n")
+    return rows.join(spread, partition).filter(F.col("_d") <= times * F.greatest(1.4826 * F.col("_s"), F.lit(floor))).drop("_v", "_m", "_s", "_d")
 
 
 def ramp_removed(value: str, rate: Column, time_years: str, partition: list[str]) -> Column:
