@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seiche import catalogue, catalogue_events, catalogue_functions, catalogue_products, catalogue_sources, queries  # noqa: F401 (they register theirs)
+from seiche import catalogue, catalogue_commands, catalogue_events, catalogue_functions, catalogue_products, catalogue_sources, queries  # noqa: F401 (they register theirs)
 
 QUERIES = catalogue.QUERIES | queries.QUERIES
 SQL = catalogue.SQL | queries.SQL
