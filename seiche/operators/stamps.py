@@ -12,6 +12,8 @@ first occurrence; unknown zone names count as missing; an empty table gives an e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,10 +38,16 @@ def _int(c: Column) -> Column:
     return c.try_cast("long")
 
 
-def _days(year: Column, month: Column, day: Column) -> Column:
-    """Days since 1970 of a date that exists, else null."""
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year > 0, F.unix_date(F.try_to_date(text, "yyyy-MM-dd")))
+def _days(year: str, month: str, day: str) -> Column:
+    """Days since 1970 of a date that exists, else null, by whole-number arithmetic in the proleptic Gregorian calendar.
+
+    Years are counted from March, so that the leap day is a year's last.
+    """
+    y, m = f"({year} - if({month} <= 2, 1, 0))", f"({month} + if({month} > 2, -3, 9))"
+    leap = f"({year} % 4 = 0 and ({year} % 100 <> 0 or {year} % 400 = 0))"
+    last = f"case when {month} = 2 then if({leap}, 29, 28) when {month} in (4, 6, 9, 11) then 30 else 31 end"
+    count = f"{y} * 365 + {y} div 4 - {y} div 100 + {y} div 400 + (153 * {m} + 2) div 5 + {day} - 1 - 719468"
+    return F.expr(f"case when {year} between 1 and 9999 and {month} between 1 and 12 and {day} between 1 and {last} then {count} end").cast("long")
 
 
 def _apart(array: Column) -> Column:
@@ -68,11 +76,13 @@ def known_zones(spark: SparkSession) -> list[str]:
 def _with_zoned(rows: DataFrame, seconds: str, zone: Column, out: str) -> DataFrame:
     """Adds UTC seconds of local seconds in a named zone: the first of two, null where skipped."""
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    rows = _stage(rows, {"_local": start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(seconds).cast("decimal(18,6)")), "_zn": zone})
+    rows = _stage(rows, {"_zn": zone})
+    # Only other zones than UTC need a zone's rules.
+    rows = _stage(rows, {"_local": F.when(F.col("_zn") != "UTC", start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col(seconds).cast("decimal(18,6)")))})
     rows = _stage(rows, {"_utc": F.expr("convert_timezone(_zn, 'UTC', _local)")})
     back = F.expr("convert_timezone('UTC', _zn, _utc) = _local")
     utc = F.expr("cast(unix_date(cast(_utc as date)) as long) * 86400 + hour(_utc) * 3600 + minute(_utc) * 60 + second(_utc)")
-    return _stage(rows, {out: F.when(back, utc)}).drop("_local", "_zn", "_utc")
+    return _stage(rows, {out: F.when(F.col("_zn") == "UTC", F.col(seconds)).when(back, utc)}).drop("_local", "_zn", "_utc")
 
 
 def _of(stamps: DataFrame, column: str) -> Column:
@@ -96,18 +106,19 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
     number, epoch, share = r"^(-?\d+)(?:[.,](\d*))?$", r"^(\d{2}|\d{4}):(\d{1,3}):(\d{1,5})$", r"^(\d{4})(?:[.,](\d+))?$"
     rows = _stage(rows, {"_k": F.when(F.col("_k").isNull() & F.col("_s").rlike(number), "number").otherwise(F.coalesce("_k", F.lit("stamp")))})
     # Three texts that every notation is brought to: a date Y-M-D or Y-DDD, a clock, a zone.
-    part = lambda i: F.when(F.col("_k") == "stamp", F.regexp_extract("_s", _STAMP, i))
+    # The notation's pattern is run once: its groups come out between marks, a text that is none of it whole.
+    is_stamp = F.col("_k") == "stamp"
+    rows = _stage(rows, {"_p": F.when(is_stamp, F.split(F.regexp_replace("_s", _STAMP, "$1\x1f$2\x1f$3\x1f$4"), "\x1f", -1))})
+    part = lambda i: F.when(is_stamp, F.when(F.size("_p") == 4, F.col("_p")[i - 1]).otherwise(""))
     rows = _stage(rows, {"_d": part(1), "_c": part(2), "_h": part(3), "_z": F.upper(F.translate(part(4), "−", "-"))})
-    date = F.col("_d")
-    for pattern, to in (
-        (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
-        (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1"),
-        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-        (r"^(\d{4})(\d{3})$", "$1-$2"),
-        (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ -](\d{4})$", "$3-$2-$1"),
-        (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$3-$1-$2"),
-    ):
-        date = F.regexp_replace(date, pattern, to)
+    brought = lambda *forms: reduce(lambda d, f: F.regexp_replace(d, *f), forms, F.col("_d"))
+    date = (
+        F.when(F.col("_d").rlike("[A-Za-z]"), brought((r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?[ -](\d{4})$", "$3-$2-$1"), (r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$", "$3-$1-$2")))
+        .when(F.col("_d").contains("-"), F.col("_d"))
+        .when(F.col("_d").contains("/"), F.translate("_d", "/", "-"))
+        .when(F.col("_d").contains("."), brought((r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "$3-$2-$1")))
+        .otherwise(brought((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"^(\d{4})(\d{3})$", "$1-$2")))
+    )
     # Share and epoch notations give a date too: the first day of their year, to count from.
     rows = _stage(rows, 
         {
@@ -136,9 +147,9 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
     )
     rows = _stage(rows, 
         {
-            "_first": _days(F.col("_y"), F.coalesce("_m", F.lit(0)) * 0 + 1, F.lit(1)).cast("long"),
-            "_next": _days(F.col("_y") + 1, F.lit(1), F.lit(1)).cast("long"),
-            "_day": F.when(F.size("_d") == 3, _days(F.col("_y"), F.col("_m"), F.col("_dd")).cast("long")),
+            "_first": _days("_y", "1", "1"),
+            "_next": _days("(_y + 1)", "1", "1"),
+            "_day": F.when(F.size("_d") == 3, _days("_y", "_m", "_dd")),
             "_us": _apart(F.array("_us")),
             "_hh": F.expr("case when _c[0] = '' or _c is null then 0 when _pm = '' then _hh when _hh between 1 and 12 then _hh % 12 + if(_pm = 'P', 12, 0) end"),
         }
@@ -151,11 +162,11 @@ def parsed_stamps(stamps: DataFrame, *, field: str = "field_name", text: str = "
             "_sod": F.expr("case when _hh between 0 and 23 and _mi between 0 and 59 and _ss between 0 and 60 then _hh * 3600 + _mi * 60 + if(_ss = 60, 0, _ss) end"),
             "leap": F.expr("coalesce(_k = 'stamp' and _ss = 60, false)"),
             "_off": F.when(F.col("_z").rlike("^[+-]"), F.expr("case when _zh <= 18 and _zi <= 59 then (_zh * 3600 + _zi * 60) * if(_z like '-%', -1, 1) end")).when(F.col("_z") != "", F.try_element_at(names, F.col("_z"))),
-            "_size": F.abs(_int(F.regexp_extract("_s", number, 1))),
-            "_frac": _apart(F.array(F.regexp_extract("_s", number, 2))),
-            "_sec": _int(F.regexp_extract("_s", epoch, 3)),
+            "_size": F.when(F.col("_k") == "number", F.abs(_int(F.regexp_extract("_s", number, 1)))),
+            "_frac": _apart(F.array(F.when(F.col("_k") == "number", F.regexp_extract("_s", number, 2)))),
+            "_sec": F.when(F.col("_k") == "epoch", _int(F.regexp_extract("_s", epoch, 3))),
             # The zero keeps a year without a share readable.
-            "_part": F.when(F.col("_s").rlike(share) & (F.col("_y") > 0), F.concat(F.lit("0."), F.substring(F.regexp_extract("_s", share, 2), 1, 18), F.lit("0"))).try_cast("decimal(20,18)"),
+            "_part": F.when((F.col("_k") == "year") & F.col("_s").rlike(share) & (F.col("_y") > 0), F.concat(F.lit("0."), F.substring(F.regexp_extract("_s", share, 2), 1, 18), F.lit("0"))).try_cast("decimal(20,18)"),
         }
     )
     rows = _stage(rows, {"_places": F.expr("case when _size < 100000000000 then 6 when _size < 100000000000000 then 3 else 0 end")})
@@ -202,7 +213,9 @@ def instants(
         rows = rows.join(history, _of(stamps, source).eqNullSafe(F.col("_source")) & within, "left")
         default = F.when(_usable(spark, F.col("_est")), F.col("_est")).otherwise(default)
     name = F.trim(_of(stamps, zone))
-    rows = _with_zoned(rows, "local_s", F.when(_usable(spark, name), name).otherwise(default), "zoned_s")
+    # A text with its own offset, and a bare number, need no zone.
+    rows = _stage(rows, {"_zoneless": F.expr("case when offset_s is null and number_us is null then local_s end")})
+    rows = _with_zoned(rows, "_zoneless", F.when(_usable(spark, name), name).otherwise(default), "zoned_s")
     value = F.expr("coalesce(number_us, (if(offset_s is not null, local_s - offset_s, zoned_s) + if(leap, 60, 0)) * 1000000 + micros)")
     kept = [_of(stamps, c).alias(c) for c in stamps.columns if c.lower() != out.lower()]
     return _stage(rows, {"_value": value.cast("long")}).select(*kept, F.col("_value").alias(out))
