@@ -77,6 +77,7 @@ def p02_polygon(spark, d):
   SELECT c_custkey, sqrt(pow((lat - 10) * 111.19, 2) + pow((lon - 20) * 111.19 * cos(radians((lat + 10) / 2)), 2)) km
   FROM (SELECT c_custkey, {_PLACED} FROM customer)) WHERE km <= 3000""")
 def p04_within_km(spark, d):
+    """The equirectangular distance."""
     c = _placed(read(spark, d, "customer"), "c_custkey")
     km = geo.equirectangular_km(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0))
     return c.withColumn("km", km).filter("km <= 3000").select("c_custkey", F.round("km", 6).alias("km"))
@@ -206,6 +207,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY day DESC) k FROM c)
 SELECT day, n FROM r WHERE k <= 3 AND n < 0.999 * (SELECT median(n) FROM r WHERE k BETWEEN 4 AND 17)
 AND (SELECT count(*) FROM r WHERE k BETWEEN 4 AND 17) >= 7""")
 def a11_incomplete_days(spark, d):
+    """Newest days that are not yet whole (A11, ST06)."""
     counts = agg.daily_counts(read(spark, d, "events"), "ts")
     return agg.incomplete_newest(counts, "d", "n", share=0.999).select(F.col("d").alias("day"), "n")
 
@@ -538,6 +540,7 @@ def u03_sets(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, round(2.0::DOUBLE / 3 * log10(l_extendedprice * 1e9) - 6.0333, 6) AS mw,
 round(1.5 * (l_quantity / 10 + 6.0333), 6) AS log_m0 FROM lineitem""")
 def f01_moment(spark, d):
+    """The moment magnitude and its inverse."""
     l = read(spark, d, "lineitem")  # noqa: E741
     return l.select("l_orderkey", "l_linenumber", F.round(moment.mw_from_moment(F.col("l_extendedprice") * 1e9), 6).alias("mw"), F.round(F.log10(moment.moment_from_mw(F.col("l_quantity") / 10)), 6).alias("log_m0"))
 
@@ -546,6 +549,7 @@ def f01_moment(spark, d):
 SELECT l_orderkey, l_linenumber, round(10 + m + (1 / 0.9::DOUBLE - 1) * greatest(m - 2, 0) + (1 / 0.8::DOUBLE - 1 / 0.9::DOUBLE) * greatest(m - 3, 0)
 + (1 / 0.7::DOUBLE - 1 / 0.8::DOUBLE) * greatest(m - 4.6, 0) + (1 / 0.5::DOUBLE - 1 / 0.7::DOUBLE) * greatest(m - 5.4, 0), 6) AS log_m0, round(m, 6) AS back FROM m""")
 def f03_mlw(spark, d):
+    """The piecewise relation and its inverse."""
     m = read(spark, d, "lineitem").withColumn("m", F.col("l_quantity") / 8 - 0.5)
     return m.select("l_orderkey", "l_linenumber", F.round(moment.log_moment_from_mlw(F.col("m")), 6).alias("log_m0"), F.round(moment.mlw_from_moment(moment.moment_from_mlw(F.col("m"))), 6).alias("back"))
 
@@ -562,6 +566,7 @@ def f06_moment_estimate(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, round(-1.69 * log10(r + 0.00299 * pow(10, 0.621 * m)) + 1.05 * m - 4.96, 6) AS log_pgv,
 round((1.69 * log10(r) + log10(l_extendedprice * 1e-6) + 4.96) / 1.05, 6) AS far FROM (SELECT *, l_quantity r, l_tax * 50 m FROM lineitem)""")
 def f07_ground_velocity(spark, d):
+    """The ground-velocity model and its far-field inverse."""
     l = read(spark, d, "lineitem").withColumns({"r": F.col("l_quantity"), "m": F.col("l_tax") * 50})  # noqa: E741
     return l.select("l_orderkey", "l_linenumber", F.round(F.log10(moment.ground_velocity(F.col("m"), F.col("r"))), 6).alias("log_pgv"), F.round(moment.magnitude_far(F.col("l_extendedprice"), F.col("r")), 6).alias("far"))
 
@@ -577,6 +582,7 @@ def f09_exact_inverse(spark, d):
 @query("""SELECT row_id, CASE WHEN trim(event_code) = '' OR event_code IS NULL THEN NULL WHEN event_code IN ('qu', 'sm', 'te', 'un', 'ql') THEN 'earthquake' WHEN event_code = 'ex' THEN 'explosion'
 WHEN event_code = 'ne' THEN 'not existing' ELSE 'other' END AS kind, regexp_extract(upper(trim(event_id)), '^(SIL)?0*([0-9]+)$', 2) AS number FROM skjalftalisa_quakes""")
 def f24_event_type(spark, d):
+    """Event types and numbers."""
     q = read(spark, d, "skjalftalisa_quakes")
     return q.select("row_id", text.event_type(F.col("event_code")).alias("kind"), text.canonical_number(F.col("event_id")).alias("number"))
 
@@ -584,6 +590,7 @@ def f24_event_type(spark, d):
 @query("""SELECT event_id, round(year(ts) + (dayofyear(ts) - 1 + (hour(ts) * 3600 + minute(ts) * 60 + epoch_us(ts) % 60000000 / 1000000.0) / 86400.0) / CASE WHEN year(ts) % 4 = 0 THEN 366.0::DOUBLE ELSE 365 END, 9) AS yearf,
 round(year(ts) + (dayofyear(ts) - 0.5) / CASE WHEN year(ts) % 4 = 0 THEN 366.0::DOUBLE ELSE 365 END, 9) AS noon FROM events""")
 def f34_years(spark, d):
+    """Fractional years and those of noon."""
     e = read(spark, d, "events")
     return e.select("event_id", F.round(timeaxis.fractional_year(F.col("ts")), 9).alias("yearf"), F.round(timeaxis.noon_year(F.col("ts").cast("date")), 9).alias("noon"))
 
@@ -744,6 +751,7 @@ def w22_last_good(spark, d):
 
 @query("""SELECT rec_id, t > max(t) OVER (PARTITION BY station, session_code, component) - 0.1 AS provisional FROM series_epochs""")
 def w13_provisional(spark, d):
+    """Rows too young to be judged for good (W13, ST05)."""
     s = read(spark, d, "series_epochs")
     last = s.groupBy("station", "session_code", "component").agg(F.max("t").alias("t1"))
     return s.join(last, ["station", "session_code", "component"]).select("rec_id", (F.col("t") > F.col("t1") - 0.1).alias("provisional"))

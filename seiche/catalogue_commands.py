@@ -104,3 +104,24 @@ def x25_transient(spark, d):
 @query("SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1")
 def x14_counts(spark, d):
     return cli.result(spark, ["counts", f"{d}/events.parquet", "--time", "ts"])
+
+
+@query("SELECT s_suppkey % 5 AS day, count(*) AS n FROM supplier GROUP BY 1")
+def x18_realign(spark, d):
+    """The command that brings solutions into a frame."""
+    k = D("s_suppkey")
+    s = read(spark, d, "supplier").select((k % 5).alias("day"), k.cast("string").alias("site"), *[(1e6 * F.cos(k * n)).alias(c) for n, c in enumerate("xyz", 1)], *[L(0.01).alias(f"d{c}") for c in "xyz"], L(0.001).alias("sigma"))
+    out = cli.result(spark, ["realign", _written(s, "cli-solutions"), "--params", "xtran,ytran,ztran"])
+    return out.filter("abs(dx) < 1e-9 and refused is null").groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'S' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS station, 2::BIGINT AS n FROM nation")
+def x16_join_segments(spark, d):
+    """The command that joins segments of text files."""
+    from seiche.session import put_text
+
+    folder = shared_dir(spark, "cli-segments")
+    for (k,) in read(spark, d, "nation").select("n_nationkey").collect():  # a file each
+        put_text(spark, f"{folder}/mb_S{k:03d}_1PS.dat1", [f"head\nhead\nhead\n2020.5 1.0 0.1\n2020.6 {k}.0 0.1\n"])
+    out = cli.result(spark, ["join-segments", folder])
+    return out.groupBy("station").agg(F.count("*").alias("n"))

@@ -78,7 +78,7 @@ def f17_dip_to_180(spark, d):
 @query(f"""SELECT k, round(CASE WHEN k % 3 = 0 THEN 0 ELSE degrees(acos(greatest(-1, least(1, sin(d) * sin(d + radians(20)) + cos(d) * cos(d + radians(20)))))) END, 3) AS angle,
 k % 3 <> 0 AS inconsistent FROM ({_PLANE}) WHERE d < radians(60) AND abs(sin(r) * sin(d)) < 0.99""")
 def f18_same_plane(spark, d):
-    """A plane against the auxiliary of another: of its own, or of the plane with a dip twenty degrees steeper and the rake along the strike."""
+    """A plane against the auxiliary of another (F18, F22): of its own, or of the plane with a dip twenty degrees steeper and the rake along the strike."""
     p = _planes(spark, d).filter("d < 60").filter(F.abs(F.sin(F.radians("r")) * F.sin(F.radians("d"))) < 0.99)
     a = (D("s"), D("d"), F.when(D("k") % 3 == 0, D("r")).otherwise(0.0))
     own = p.withColumn("other", mechanism.auxiliary_plane(a[0], F.when(D("k") % 3 == 0, D("d")).otherwise(D("d") + 20), a[2]))

@@ -74,6 +74,7 @@ _AT = "CAST(TIMESTAMP '2024-08-22' + to_seconds(sec) AS TIMESTAMP) AS t"
 
 @query(f"SELECT row_id, CAST(n AS DOUBLE) AS num, {_AT}, lat AS latitude, lon AS longitude, dep AS depth, CASE WHEN row_id % 5 <> 0 THEN m END AS mlw, 'qu' AS event_type, '/2024/aug/22/' || row_id AS id FROM ({_EV})")
 def s27_events_lib(spark, d):
+    """Day files told apart by their widths."""
     mlw = F.when(D("row_id") % 5 != 0, S("%5.1f", "m")).otherwise(" ****")
     line = F.concat(S("%4d", "n"), L(" 20240822"), _clock(11, 3), S("%9.3f", "lat"), S("%10.3f", "lon"), S("%7.1f", "dep"), mlw, L("  qu"), F.lpad(F.concat(L("/2024/aug/22/"), D("row_id").cast("string")), 33, " "), L("      NaN"), S("%7.1f", "dep"), S("%7.1f", "m"), L("  9"))
     rows = _lines(_events(spark, d), L("/sil/2024/aug/22/events.lib"), ["row_id"], F.rpad(line, 136, " "))
@@ -679,7 +680,7 @@ def k04_joined_lines(spark, d):
 
 @query("""SELECT s_suppkey AS k, ' 2020.50000' || '' AS head, format('{:.2f}', s_suppkey / 4.0) AS north FROM supplier""".replace("' 2020.50000' || ''", "'2020.50000'"))
 def k01_neu_lines(spark, d):
-    """Lines of a displacement series in millimetres."""
+    """Lines of a displacement series in millimetres."""
     s = read(spark, d, "supplier").select(D("s_suppkey").alias("k"), L(2020.5).alias("yearf"), (D("s_suppkey") / L(4000.0)).alias("north"), *[L(0.001).alias(c) for c in ("d_north", "east", "d_east", "up", "d_up")])
     words = F.split(F.trim("line"), r"\s+")
     return sinks.neu_lines(s, keep=["k"]).select("k", words[0].alias("head"), words[1].alias("north"))
@@ -736,3 +737,148 @@ def k15_screen_table(spark, d):
     """A table as aligned text."""
     rows = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return sinks.aligned(rows, {"event_type": -10, "n": 8}).select("event_type", "n", D("line").alias("shown"))
+
+
+# Further tables and formats.
+
+
+def _csv(spark, d, header: str, row: Column, table: str = "supplier", key: str = "s_suppkey") -> DataFrame:
+    """A CSV with a comment, a header and one row a number, as lines."""
+    head = spark.createDataFrame([("/t.csv", 1, "# a note"), ("/t.csv", 2, header)], "file string, line_no int, line string")
+    return head.unionByName(read(spark, d, table).select(L("/t.csv").alias("file"), (D(key) + 3).cast("int").alias("line_no"), row.alias("line")))
+
+
+def _header(ddl: str) -> str:
+    return ",".join(c.split()[0] for c in ddl.split(","))
+
+
+@query("SELECT DATE '2024-01-01' + CAST(s_suppkey AS INT) AS date, CASE WHEN s_suppkey % 3 = 0 THEN 'decided' ELSE '' END AS status, s_suppkey / 4.0::DOUBLE AS share, CAST(s_suppkey AS INT) AS n_bad FROM supplier".replace("DATE '2024-01-01' + CAST(s_suppkey AS INT) AS date", "CAST(DATE '2024-01-01' + CAST(s_suppkey AS INT) AS DATE) AS date"))
+def s23_network_days(spark, d):
+    k = D("s_suppkey")
+    row = F.concat_ws(",", F.date_format(F.date_add(L("2024-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd"), F.when(k % 3 == 0, "decided").otherwise(""), S("%.2f", k / 4.0), k.cast("string"), L("9,1,2,3"))
+    return tables.network_days(spark, _csv(spark, d, _header(tables.NETWORK_DAYS[0]), row)).select("date", "status", "share", "n_bad")
+
+
+@query("SELECT CAST(DATE '2024-01-01' + CAST(s_suppkey AS INT) AS DATE) AS date, s_suppkey / 4.0::DOUBLE AS cm_north, CASE WHEN s_suppkey % 2 = 0 THEN 1.5::DOUBLE END AS cm_up, s_suppkey % 2 = 0 AS provisional FROM supplier")
+def s24_common_mode(spark, d):
+    k = D("s_suppkey")
+    row = F.concat_ws(",", F.date_format(F.date_add(L("2024-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd"), S("%.2f", k / 4.0), L("0.5"), F.when(k % 2 == 0, "1.5").otherwise(""), L("20,20,20"), F.when(k % 2 == 0, "true").otherwise("false"))
+    return tables.strict_csv(spark, _csv(spark, d, _header(tables.COMMON_MODE[0]), row), tables.COMMON_MODE).select("date", "cm_north", "cm_up", "provisional")
+
+
+@query("SELECT 'S' || s_suppkey AS sta, 2010.5::DOUBLE AS window_start, CAST(s_suppkey AS INT) AS min_epochs, CASE WHEN s_suppkey % 2 = 0 THEN 'plate' END AS frame FROM supplier")
+def s73_fit_windows(spark, d):
+    k = D("s_suppkey")
+    row = F.concat_ws(",", F.concat(L("S"), k.cast("string")), F.when(k % 2 == 0, "plate").otherwise(""), L("2010.5,2015.5,,0.5"), k.cast("string"), L("1.5,,a comment"))
+    return tables.strict_csv(spark, _csv(spark, d, _header(tables.FIT_WINDOWS[1]), row), tables.FIT_WINDOWS, ["sta"]).select("sta", "window_start", "min_epochs", "frame")
+
+
+@query("SELECT 'S' || s_suppkey AS sta, 2010 + s_suppkey / 4.0::DOUBLE AS epoch_yearf, 'ALL' AS component, 'a, b' AS comment FROM supplier")
+def s77_steps(spark, d):
+    k = D("s_suppkey")
+    row = F.concat_ws(",", F.concat(L("S"), k.cast("string")), S("%.2f", 2010 + k / 4.0), L('ALL,eq,cat,"a, b"'))
+    return tables.strict_csv(spark, _csv(spark, d, _header(tables.STEPS[0]), row), tables.STEPS, ["sta", "epoch_yearf"]).select("sta", "epoch_yearf", "component", "comment")
+
+
+@query("SELECT * FROM (VALUES ('header', 'refused'), ('repeated', 'refused'), ('value', 'refused')) t(what, outcome)")
+def s79_refusals(spark, d):
+    """A header that is none, a key given twice and a value that is no number are refused."""
+    k = D("s_suppkey")
+    good = F.concat_ws(",", F.concat(L("S"), k.cast("string")), L("2010.5,2011.5,x"))
+    cases = {
+        "header": lambda: tables.strict_csv(spark, _csv(spark, d, "sta,odd", good), tables.PROTECT_WINDOWS),
+        "repeated": lambda: tables.strict_csv(spark, _csv(spark, d, _header(tables.PROTECT_WINDOWS[0]), L("S,2010.5,2011.5,x")), tables.PROTECT_WINDOWS, ["sta"]),
+        "value": lambda: tables.strict_csv(spark, _csv(spark, d, _header(tables.PROTECT_WINDOWS[0]), L("S,word,2011.5,x")), tables.PROTECT_WINDOWS).collect(),
+    }
+    out = []
+    for what, run in cases.items():
+        try:
+            run()
+            out.append((what, "read"))
+        except Exception:  # noqa: BLE001 (Spark's own for the value)
+            out.append((what, "refused"))
+    return spark.createDataFrame(out, "what string, outcome string")
+
+
+@query("SELECT * FROM (VALUES ('dike', DATE '2020-01-02', 'a', 'AAAA'), ('dike', DATE '2020-01-02', 'a', 'BBBB')) t(kind, onset, area, station)")
+def s70_events_and_areas(spark, d):
+    """Declared events and the stations of their areas, from their documents."""
+    from seiche.plans.grammar import parse_date
+
+    events = tables.events_table(spark, {"e": {"kind": "dike", "onset": parse_date("2020-01-02"), "regions": ["a", "none"]}})
+    areas = tables.areas_table(spark, {"volcanic_areas": {"a": {"stations": ["aaaa", "BBBB"]}}, "other": {"x": ["c"]}})
+    return events.select("kind", "onset", F.explode("regions").alias("area")).join(areas, "area").select("kind", "onset", "area", "station")
+
+
+@query("SELECT CAST(ts AS DATE) AS date, median(value) AS value, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def s22_network_median(spark, d):
+    """Medians across stations per day, and their number, written as CSV and read back."""
+    e = read(spark, d, "events").groupBy(D("ts").cast("date").alias("date")).agg(F.median("value").alias("value"), F.count_distinct("user_id").alias("n"))
+    lines_ = sinks.csv_lines(e)
+    return lines_.select(F.from_csv("line", "date date, value double, n bigint").alias("r")).select("r.*")
+
+
+@query("SELECT s_suppkey AS k, s_acctbal AS rate, CASE WHEN s_suppkey % 4 = 0 THEN 'cover' END AS refused FROM supplier")
+def s89_velocity_records(spark, d):
+    """Records as lines of JSON, refused ones too, read back."""
+    r = read(spark, d, "supplier").select(D("s_suppkey").alias("k"), D("s_acctbal").alias("rate"), F.when(D("s_suppkey") % 4 == 0, "cover").alias("refused"))
+    return sinks.json_lines(r).select(F.from_json("line", "k bigint, rate double, refused string").alias("r")).select("r.*")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation")
+def k14_workbook(spark, d):
+    """A workbook, read back."""
+    cells = sinks.read_workbook(sinks.workbook(read(spark, d, "nation").select("n_nationkey", "n_name"), {"made": "here"}))
+    return spark.createDataFrame([(int(float(k)), name) for k, name in cells[1:]], "k int, name string")
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, '{' || chr(10) || ' \"made\": 1' || chr(10) || '}' || chr(10) AS sidecar FROM nation")
+def k25_sidecar(spark, d):
+    """A table with its provenance beside it, wherever the path is."""
+    from seiche.session import shared_dir
+
+    path = shared_dir(spark, "with-sidecar")
+    sinks.write_with_sidecar(read(spark, d, "nation").select(D("n_nationkey").alias("k"), D("n_name").alias("name")), path, {"made": 1})
+    beside = spark.read.text(path + ".json", wholetext=True).head()[0]
+    return spark.read.parquet(path).withColumn("sidecar", L(beside))
+
+
+@query("""SELECT 'S' || (s_suppkey % 10) AS station, 1 AS axis, i + 0.0::DOUBLE AS at, 0.001 * (i + s_suppkey % 10) AS value FROM (SELECT DISTINCT s_suppkey % 10 s_suppkey FROM supplier), range(0, 30) t(i)""")
+def j16_joined_segments(spark, d):
+    """Two segments of a station, the second ten metres off, with epochs in common."""
+    from seiche.sources.gnss import snapped_segments
+
+    s = read(spark, d, "supplier").select((D("s_suppkey") % 10).alias("k")).distinct()
+    rows = s.select("k", F.explode(F.sequence(L(0), L(29))).alias("i"))
+    value = L(0.001) * (D("i") + D("k"))
+    part = lambda name, keep, off: rows.filter(keep).select(F.concat(L("S"), D("k").cast("string")).alias("station"), L(1).alias("axis"), L(name).alias("file"), D("i").cast("int").alias("line_no"), (2000 + D("i") / 100).alias("yearf"), (value + off).alias("value"), L(0.01).alias("sigma"))
+    both = part("/a/1", D("i") < 18, 0.0).unionByName(part("/b/2", D("i") >= 12, 10.0))
+    out = snapped_segments(both)
+    return out.select("station", "axis", F.round((D("yearf") - 2000) * 100, 0).alias("at"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT s_suppkey AS k, 6378137.0::DOUBLE AS radius, 1.0::DOUBLE AS north_z, 1.0::DOUBLE AS east_y FROM supplier")
+def f65_local_frame(spark, d):
+    """The geodetic position of a point and the rotation there: on the equator at longitude 0 north is z and east is y."""
+    from seiche.functions import geo
+
+    lat, lon, h = geo.xyz_to_llh(L(6378137.0), L(0.0), L(0.0))
+    n, _, _ = geo.xyz_to_neu(L(0.0), L(0.0), L(1.0), lat, lon)
+    _, e, _ = geo.xyz_to_neu(L(0.0), L(1.0), L(0.0), lat, lon)
+    return read(spark, d, "supplier").select(D("s_suppkey").alias("k"), F.round(h + 6378137.0, 4).alias("radius"), F.round(n, 9).alias("north_z"), F.round(e, 9).alias("east_y"))
+
+
+@query("""WITH o AS (SELECT station, session_code, max(struct_pack(t := t, r := rec_id)) b FROM series_epochs WHERE sigma > 0 AND sigma <= 3 GROUP BY ALL) SELECT station, session_code, b.r AS rec_id FROM o""")
+def s96_latest_good(spark, d):
+    """Stations at their latest position whose sigma is within a limit."""
+    s = read(spark, d, "series_epochs").filter("sigma > 0 and sigma <= 3")
+    return s.groupBy("station", "session_code").agg(F.max(F.struct("t", "rec_id")).getField("rec_id").alias("rec_id"))
+
+
+@query("SELECT row_id AS num, epoch_us(origin_time) // 1000000 AS second, coordinates[2] AS lat, CASE WHEN NOT isnan(depth_km) THEN depth_km END AS depth FROM sil_events WHERE origin_time IS NOT NULL")
+def s40_legacy_columns(spark, d):
+    """A catalogue under its older names."""
+    from seiche.operators import schema
+
+    e = read(spark, d, "sil_events").filter("origin_time is not null").select(D("row_id").alias("event_id"), D("origin_time").cast("timestamp").alias("time"), F.try_element_at("coordinates", L(2)).alias("latitude"), F.when(~F.isnan("depth_km"), D("depth_km")).alias("depth_km"))
+    return schema.renamed(e, {"event_id": "num", "latitude": "lat", "depth_km": "depth"}).select("num", F.unix_seconds("time").alias("second"), "lat", "depth")

@@ -147,3 +147,11 @@ def ordered(df: DataFrame, first: Iterable[str]) -> DataFrame:
     """The listed columns that are there first, then the others in their order."""
     head = [c for c in first if c in df.columns]
     return df.select(*[F.col(f"`{c}`") for c in [*head, *[c for c in df.columns if c not in head]]])
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that are there under other names; two that would get one name raise."""
+    out = [names.get(c, c) for c in df.columns]
+    if len({n.lower() for n in out}) != len(out):
+        raise ValueError(f"one name twice in {out}")
+    return df.toDF(*out)

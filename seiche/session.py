@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def put_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """Write one text file wherever the path is, through a temporary name and a rename: a reader sees all of it or nothing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(target, True)
+    fs.rename(beside, target)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -6,27 +6,33 @@ the parts in order on the driver, line by line, never held in memory.
 
 from __future__ import annotations
 
+import io
 import json
-import os
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seiche.functions.geo import number
+from seiche.session import put_text
 
 
 def one_file(rows: DataFrame, path: str, header: list[str] = [], order: list[Column | str] = []) -> None:  # noqa: B006
-    """Write a column ``line`` to one file, in order, through a temporary name and an atomic rename."""
+    """Write a column ``line`` to one file, in order, wherever the path is; a part at a time is on the driver."""
     if order:
         rows = rows.orderBy(*order)
-    target = Path(path)
-    beside = target.with_name(f".{target.name}.part")
-    with beside.open("w", encoding="utf-8") as out:
-        out.writelines(h + "\n" for h in header)
+
+    def parts() -> Iterator[str]:
+        held = [h + "\n" for h in header]
         for row in rows.select("line").toLocalIterator(prefetchPartitions=True):
-            out.write(row[0] + "\n")
-    os.replace(beside, target)
+            held.append(row[0] + "\n")
+            if len(held) >= 10_000:
+                yield "".join(held)
+                held = []
+        yield "".join(held)
+
+    put_text(rows.sparkSession, path, parts())
 
 
 # Fixed values from here on: the widths and places of the columns of each product's format.
@@ -94,7 +100,7 @@ def aligned(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 def write_with_sidecar(df: DataFrame, path: str, provenance: dict[str, object], form: str = "parquet") -> None:
     """A table as Spark writes it, and its provenance as JSON beside it."""
     df.write.mode("overwrite").format(form).option("header", "true").save(path)
-    Path(path.rstrip("/") + ".json").write_text(json.dumps(provenance, sort_keys=True, indent=1, default=str) + "\n", encoding="utf-8")
+    put_text(df.sparkSession, path.rstrip("/") + ".json", [json.dumps(provenance, sort_keys=True, indent=1, default=str) + "\n"])
 
 
 def position_lines(positions: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -117,6 +123,11 @@ def cleaned(series: DataFrame, flags: tuple[str, ...] = ("n_outlier", "e_outlier
 
 
 def write_xlsx(df: DataFrame, path: str, provenance: dict[str, object], most: int = 1_000_000) -> None:
+    """``workbook`` as a file of the driver's machine."""
+    Path(path).write_bytes(workbook(df, provenance, most))
+
+
+def workbook(df: DataFrame, provenance: dict[str, object], most: int = 1_000_000) -> bytes:
     """A workbook with a data and a meta sheet; more rows than a sheet holds raise."""
     import zipfile
     from xml.sax.saxutils import escape
@@ -127,7 +138,7 @@ def write_xlsx(df: DataFrame, path: str, provenance: dict[str, object], most: in
 
     data = [list(r) for r in df.limit(most + 1).toLocalIterator()]
     if len(data) > most:
-        raise ValueError(f"{path}: more than {most} rows")
+        raise ValueError(f"more than {most} rows")
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     parts = {
@@ -138,9 +149,20 @@ def write_xlsx(df: DataFrame, path: str, provenance: dict[str, object], most: in
         "xl/worksheets/sheet1.xml": sheet([df.columns, *data]),
         "xl/worksheets/sheet2.xml": sheet([[k, json.dumps(v, sort_keys=True, default=str)] for k, v in provenance.items()]),
     }
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in parts.items():
             z.writestr(name, body)
+    return out.getvalue()
+
+
+def read_workbook(content: bytes, sheet: int = 1) -> list[list[str]]:
+    """The cells of a sheet as text."""
+    import zipfile
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read(f"xl/worksheets/sheet{sheet}.xml"))
+    return [["".join(c.itertext()) for c in row] for row in root[0]]
 
 
 def upserted_row(text: str, row: str) -> str:

@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from seiche.functions.geo import number
 
 
-def strict_csv(spark: SparkSession, path: str, headers: list[str], key: list[str] | None = None) -> DataFrame:
+def strict_csv(spark: SparkSession, path: str | DataFrame, headers: list[str], key: list[str] | None = None) -> DataFrame:
     """A CSV with '#' comments whose header must be one of ``headers`` (DDL); a repeated key raises.
 
-    Values that are no number of their column's type raise, too.
+    The CSV is a file anywhere, or lines read already. Values that are no number of their column's type
+    raise, too, when the rows are read.
     """
-    with open(path, encoding="utf-8") as f:
-        first = next((ln.strip() for ln in f if ln.strip() and not ln.startswith("#")), "")
-    for ddl in headers:
-        names = [c.split()[0] for c in ddl.split(",")]
-        if [c.strip() for c in first.split(",")] == names:
-            break
-    else:
-        raise ValueError(f"{path}: unexpected header {first!r}")
-    df = spark.read.option("header", "true").option("comment", "#").option("mode", "FAILFAST").schema(ddl).csv(path)
+    from seiche.sources.text import lines
+
+    rows = lines(spark, path, charset="UTF-8").filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
+    head = rows.orderBy("file", "line_no").head()
+    names = [c.strip() for c in (head["line"] if head else "").split(",")]
+    ddl = next((h for h in headers if [c.split()[0] for c in h.split(",")] == names), None)
+    if ddl is None:
+        raise ValueError(f"unexpected header {','.join(names)!r}")
+    body = rows.filter(F.col("line_no") > head["line_no"]).select(F.from_csv("line", ddl, {"mode": "FAILFAST"}).alias("r"))
+    df = body.select("r.*")
     if key and (twice := df.groupBy(*key).count().filter("count > 1").head()):
-        raise ValueError(f"{path}: repeated {twice.asDict()}")
+        raise ValueError(f"repeated {twice.asDict()}")
     return df
 
 
@@ -40,7 +42,7 @@ NETWORK_DAYS = ["date date, status string, share double, n_bad int, n_voting int
 COMMON_MODE = ["date date, cm_north double, cm_east double, cm_up double, n_north int, n_east int, n_up int, provisional boolean"]
 
 
-def network_days(spark: SparkSession, path: str) -> DataFrame:
+def network_days(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return strict_csv(spark, path, NETWORK_DAYS).withColumn("status", F.coalesce("status", F.lit("")))
 
 
