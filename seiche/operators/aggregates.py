@@ -70,12 +70,25 @@ def _keyed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.filter(F.col("_v").isNotNull()).withColumn("_b", _bin("_v"))
 
 
+#: Values of one group that one buffer or one sort may hold; larger groups go through bins, with the same result.
+VALUES_IN_ONE_BUFFER = 1_000_000
+
+
+def _largest(df: DataFrame, keys: list[str], value: Column) -> int:
+    """The most values any group has: one row a group, then one."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).head()[0] or 0
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], names: list[str]) -> DataFrame:
     """keys, n and exact linear quantiles of the finite values; null where a group has none.
 
-    Values are counted in bins first (combined in the map tasks), and only the bins that hold the wanted
-    ranks are looked into, equal values as one row: a group with a third of all rows is in no buffer.
+    Where a group has more than ``VALUES_IN_ONE_BUFFER``, values are counted in bins first (combined in the
+    map tasks), and only the bins that hold the wanted ranks are looked into, equal values as one row: a
+    group with a third of all rows is in no buffer.
     """
+    finite = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
+    if _largest(df, keys, finite) <= VALUES_IN_ONE_BUFFER:
+        return df.groupBy(*keys).agg(F.count(finite).alias("n"), *[F.percentile(finite, F.lit(float(q))).alias(name) for name, q in zip(names, quantiles)])
     rows = _keyed(df, keys, value)
     w = W.partitionBy("_k")
     bins = rows.groupBy("_k", "_b").agg(F.count("*").alias("n")).withColumns({"all": F.sum("n").over(w), "below": F.sum("n").over(w.orderBy("_b")) - F.col("n")})
@@ -88,8 +101,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: list[
     at = at.groupBy("_k", F.col("s.k").alias("k"), F.col("s.at").alias("at")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     value_at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
     wide = at.groupBy("_k").agg(*[F.max(F.when(F.col("k") == k, value_at)).alias(name) for k, name in enumerate(names)])
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    groups = df.groupBy(*keys).agg(F.count(F.when(finite, F.col(value))).alias("n"))
+    groups = df.groupBy(*keys).agg(F.count(finite).alias("n"))
     groups = groups.withColumn("_k", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
     return groups.join(wide, "_k", "left").drop("_k")
 
@@ -153,9 +165,16 @@ def line_rate(df: DataFrame, keys: list[str], t: str, value: str, sigma: str | N
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, order: list[str] = [], share: int = 3, least: int = 3) -> DataFrame:  # noqa: B006
     """Mean of the middle: floor(n/share) values are left out at either end; null with fewer than ``least``.
 
-    Whole bins of values count by their sums; only the two bins where the ends are cut are looked into.
-    Equal values are alike, so that their ``order`` does not matter.
+    Where a group has more than ``VALUES_IN_ONE_BUFFER``, whole bins of values count by their sums and only
+    the two bins where the ends are cut are looked into. Equal values are alike, so that their ``order``
+    does not matter.
     """
+    if _largest(df, keys, missing(value)) <= VALUES_IN_ONE_BUFFER:
+        w = W.partitionBy(*keys)
+        sorted_rows = df.filter(missing(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value, *order)), "_n": F.count("*").over(w)})
+        ends = F.floor(F.col("_n") / share)
+        middle = F.when((F.col("_n") >= least) & (F.col("_r") > ends) & (F.col("_r") <= F.col("_n") - ends), F.col(value))
+        return sorted_rows.groupBy(*keys).agg(F.avg(middle).alias("trimmed_mean"), F.count("*").alias("n"))
     rows = _keyed(df, keys, value)
     w = W.partitionBy("_k")
     bins = rows.groupBy("_k", "_b").agg(F.count("*").alias("n"), F.sum("_v").alias("s")).withColumns({"all": F.sum("n").over(w), "below": F.sum("n").over(w.orderBy("_b")) - F.col("n")})

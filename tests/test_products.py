@@ -59,7 +59,9 @@ def test_displacements_coordinates_views(spark):
     assert records.rate_scales(df, 0.2, keys=["station", "component"]).filter("station = 'A' and k is not null").count() == 3
 
 
-def test_quantiles_and_trimmed_means(spark):
+@pytest.mark.parametrize("in_one_buffer", [1_000_000, 10])
+def test_quantiles_and_trimmed_means(spark, in_one_buffer, monkeypatch):
+    monkeypatch.setattr(aggregates, "VALUES_IN_ONE_BUFFER", in_one_buffer)
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 100), rng.gauss(0, 1e-3), 0.0, 5.0, -5.0, None, float("nan"), float("inf")])) for _ in range(4000)] + [("empty", None)] + [("one", 3.0)]
     df = spark.createDataFrame(rows, "k string, v double")
