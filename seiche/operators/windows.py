@@ -108,15 +108,18 @@ def day_spine(df: DataFrame, partition: list[str], day: str) -> DataFrame:
 def mad_kept(df: DataFrame, partition: list[str], value: str, times: float, floor: float = 0.0) -> DataFrame:
     """Rows within ``times`` scaled median absolute deviations of their group's median.
 
-    Two exact medians by bins of values, joined back by group; they are one row a group.
+    Two exact medians joined back by group, by bins of values where a group is large.
     """
-    from seiche.operators.aggregates import group_quantiles
+    from seiche.operators import aggregates
 
     rows = df.withColumn("_v", number(value))
-    centre = group_quantiles(rows, partition, "_v", [0.5], ["_m"]).drop("n")
-    rows = rows.join(centre, partition).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
-    spread = group_quantiles(rows, partition, "_d", [0.5], ["_s"]).drop("n")
-    return rows.join(spread, partition).filter(F.col("_d") <= times * F.greatest(1.4826 * F.col("_s"), F.lit(floor))).drop("_v", "_m", "_s", "_d")
+    small = aggregates._largest(rows, partition, F.col("_v")) <= aggregates.VALUES_IN_ONE_BUFFER
+
+    def medians(of: DataFrame, column: str, name: str) -> DataFrame:
+        return of.groupBy(*partition).agg(F.median(column).alias(name)) if small else aggregates.group_quantiles(of, partition, column, [0.5], [name]).drop("n")
+
+    rows = rows.join(medians(rows, "_v", "_m"), partition).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+    return rows.join(medians(rows, "_d", "_s"), partition).filter(F.col("_d") <= times * F.greatest(1.4826 * F.col("_s"), F.lit(floor))).drop("_v", "_m", "_s", "_d")
 
 
 def ramp_removed(value: str, rate: Column, time_years: str, partition: list[str]) -> Column:
