@@ -285,28 +285,27 @@ def shared_decay(series: DataFrame, *, keys: list[str], onset: float, until: flo
 
     rows = series.filter(usable() & (F.col(t) >= onset) & (F.col(t) < until))
     best = taus[0]
+    x = F.col(t) - onset
+    columns = {"offset": F.lit(1.0), "rate": x, "amplitude": 1 - F.exp(-x / F.col("_tau"))}
+    by_key = lambda df, one: df.join(one.hint("merge"), keys)  # noqa: E731  # a row a series, of which there may be any number: not gathered for a broadcast
     for _ in range(rounds):
-        x = F.col(t) - onset
-        shapes = F.explode(F.array(*[F.struct(F.lit(float(tau)).alias("tau")) for tau in taus]))
-        tried = rows.withColumn("_s", shapes).withColumn("_tau", F.col("_s.tau"))
-        columns = {"offset": F.lit(1.0), "rate": x, "amplitude": 1 - F.exp(-x / F.col("_tau"))}
-        misfit = _misfits(normal_sums(tried, [*keys, "_tau"], columns, "y", "sigma"), [*keys, "_tau"], least)
+        tried = rows.withColumn("_tau", F.explode(F.array(*[F.lit(float(tau)) for tau in taus])))
+        fits = written(_solved(normal_sums(tried, [*keys, "_tau"], columns, "y", "sigma"), [*keys, "_tau"], least), "decay-fits")
         # One row a time.
-        total = misfit.groupBy("_tau").agg(F.sum("chi2").alias("chi2")).collect()
+        total = fits.groupBy("_tau").agg(F.sum("chi2").alias("chi2")).collect()
         if not total:
             break
         best = min(total, key=lambda r: (r["chi2"], r["_tau"]))["_tau"]
-        fit = transients(rows, keys=keys, onset=onset, tau=best, at=[], t=t, least=least)
         model = F.col("offset") + F.col("linear") * x + F.col("amplitude") * (1 - F.exp(-x / F.lit(best)))
-        resid = rows.join(fit.select(*keys, "offset", "linear", "amplitude"), keys).withColumn("_r", (F.col("y") - model) / F.col("sigma"))
-        centre = resid.groupBy(*keys).agg(F.median("_r").alias("_m"))
-        resid = resid.join(centre, keys)
-        spread = resid.groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("_r") - F.col("_m")))).alias("_d"))
-        kept = resid.join(spread, keys).filter(F.abs(F.col("_r") - F.col("_m")) <= times * F.col("_d")).select(*rows.columns)
-        kept = written(kept, "decay-kept")
-        if kept.count() == resid.count():
+        fit = fits.filter(F.col("_tau") == best).select(*keys, "offset", "linear", "amplitude")
+        resid = written(by_key(rows, fit).select(*rows.columns, ((F.col("y") - model) / F.col("sigma")).alias("_r")), "decay-residuals")
+        resid = by_key(resid, resid.groupBy(*keys).agg(F.median("_r").alias("_m")))
+        off = F.abs(F.col("_r") - F.col("_m"))
+        spread = resid.groupBy(*keys).agg((1.4826 * F.median(off)).alias("_d"))
+        kept = written(by_key(resid.withColumn("_off", off), spread).withColumn("_kept", F.col("_off") <= times * F.col("_d")).select(*rows.columns, "_kept"), "decay-kept")
+        if kept.filter("not coalesce(_kept, false)").isEmpty():
             break
-        rows = kept
+        rows = kept.filter("_kept").drop("_kept")
     return best, rows
 
 
@@ -331,10 +330,6 @@ def _solved(sums: DataFrame, keys: list[str], least: int) -> DataFrame:
     return sums.filter(F.col("n") >= least).mapInPandas(run, schema)
 
 
-def _misfits(sums: DataFrame, keys: list[str], least: int) -> DataFrame:
-    return _solved(sums, keys, least).select(*keys, "chi2")
-
-
 def transients(series: DataFrame, *, keys: list[str], onset: float, tau: float, at: list[float], t: str = "t", least: int = 8) -> DataFrame:
     """Records of series that relax after an onset at a fixed time: offset, linear, amplitude with sigmas, n, chi2.
 
@@ -349,6 +344,6 @@ def transients(series: DataFrame, *, keys: list[str], onset: float, tau: float,
     if not at:
         return fit
     last = rows.groupBy(*keys).agg(F.max(t).alias("_last"))
-    dated = fit.join(last, keys).withColumn("at", F.explode(F.array(*[F.lit(float(a)) for a in at])))
+    dated = fit.join(last.hint("merge"), keys).withColumn("at", F.explode(F.array(*[F.lit(float(a)) for a in at])))
     rate = F.col("linear") + F.col("amplitude") / tau * F.exp(-(F.col("at") - onset) / F.lit(tau))
     return dated.withColumns({"rate": rate, "extrapolated": F.col("at") > F.col("_last") + 1 / DAYS}).drop("_last")

@@ -146,3 +146,21 @@ def test_screens_of_empty_series(spark):
     assert screens.data_ends(df, ["station"], "t", 2020.5).count() == 0 and screens.nearest_epoch(df, ["station"], "t", 2020.5).count() == 0
     steps = df.select("station").withColumn("step", F.lit(0.0))
     assert screens.cut_at_steps(df, ["station"], "t", steps, 2020.0, 1.0).count() == 0
+
+
+def test_shared_decay_gathers_no_series(spark, monkeypatch):
+    """One row a series is joined to the rows without a broadcast, which the driver would have to hold."""
+    from seiche import session
+
+    plans, write = [], session.written
+    monkeypatch.setattr(session, "written", lambda df, purpose: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, purpose))
+    x = [k / 40 for k in range(40)]
+    value = lambda s, t: 1 + 0.5 * t + (s + 1) * (1 - np.exp(-t / 0.3)) + 1e-3 * ((7 * s + round(40 * t)) % 5) + (50.0 if (s, t) == (1, 0.5) else 0.0)
+    rows = [(str(s), 2020 + t, float(value(s, t)), 1.0) for s in range(3) for t in x] + [("short", 2020.5, 1.0, 1.0)]
+    df = session.written(spark.createDataFrame(rows, "station string, t double, y double, sigma double"), "decay-input")
+    tau, kept = records.shared_decay(df, keys=["station"], onset=2020.0, until=2021.0, taus=[0.1, 0.3, 0.8])
+    assert tau == 0.3 and {(r.station, round(r.t, 3)) for r in kept.collect()} == {(s, round(t, 3)) for s, t, *_ in rows} - {("1", 2020.5), ("short", 2020.5)}
+    out = records.transients(kept, keys=["station"], onset=2020.0, tau=tau, at=[2020.5])
+    assert out.count() == 3
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
