@@ -192,7 +192,7 @@ def s02_segment_headers(spark, d):
     texts = F.array(F.struct(L(1).alias("no"), head.alias("l")), F.struct(L(4).alias("no"), L("2020.5 1.5 0.1").alias("l")))
     rows = s.select("file", F.explode(texts).alias("x")).select("file", D("x.no").alias("line_no"), D("x.l").alias("line"))
     out = gnss.segments(spark, rows)
-    return out.select(F.substring("station", 2, 3).cast("long").alias("k"), "marker", "reference_m", "value")
+    return out.select(F.expr("substring(station, 2)").cast("long").alias("k"), "marker", "reference_m", "value")
 
 
 @query("SELECT s_suppkey AS k, 'TOT' AS scheme, 2020.5::DOUBLE AS yearf FROM supplier UNION ALL SELECT s_suppkey, 'PRE', 2020.5 FROM supplier WHERE s_suppkey % 3 = 0")

@@ -14,9 +14,15 @@ from seiche.operators.windows import smallest_sigma
 from seiche.sources.text import Source, at, clock_seconds, lines, number, packed_lines, plain_lines, whole_texts, word, words
 
 
+_STATION = r"\w{4}|[^\W_]+"
+
+
 def component_rows(spark: SparkSession, paths: Source, skip: int = 3) -> DataFrame:
-    """station, scheme, axis (1-3), line_no, yearf, value, sigma of mb_<STA>_<scheme>.dat{1,2,3}; stars are null."""
-    name = r"mb_(\w{4})_(\w+)\.dat([123])$"
+    """station, scheme, axis (1-3), line_no, yearf, value, sigma of mb_<STA>_<scheme>.dat{1,2,3}; stars are null.
+
+    Names have four characters; longer or shorter ones end at the first underscore.
+    """
+    name = rf"mb_({_STATION})_(\w+)\.dat([123])$"
     rows = lines(spark, paths, pattern="mb_*.dat[123]").filter(F.col("line_no") > skip).filter(F.trim("line") != "")
     return rows.select(
         F.regexp_extract("file", name, 1).alias("station"), F.regexp_extract("file", name, 2).alias("scheme"), F.regexp_extract("file", name, 3).cast("int").alias("axis"), "file", "line_no",
@@ -26,7 +32,7 @@ def component_rows(spark: SparkSession, paths: Source, skip: int = 3) -> DataFra
 
 def segments(spark: SparkSession, paths: Source) -> DataFrame:
     """Segment rows with the reference of their header: component_rows and reference_m, marker."""
-    pattern = r"^(\w{4})_(\w+)\s+to\s+([A-Z])\s+Solution\s+(\d+)\s*\+\s*(-?\d+(?:\.\d+)?)\s*m"
+    pattern = rf"^({_STATION})_(\w+)\s+to\s+([A-Z])\s+Solution\s+(\d+)\s*\+\s*(-?\d+(?:\.\d+)?)\s*m"
     head = lines(spark, paths, pattern="mb_*.dat[123]").filter(F.col("line").rlike(pattern)).select("file", F.regexp_extract("line", pattern, 2).alias("marker"), F.regexp_extract("line", pattern, 5).cast("double").alias("reference_m"))
     return component_rows(spark, paths).join(head, "file", "left")
 

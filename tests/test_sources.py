@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from seiche import registered
 from seiche.sinks import text as sinks
 from seiche.sources import alerts, archive, gnss, tables, web
 from seiche.sources.text import clock_seconds
@@ -129,6 +130,16 @@ def test_series_files(spark, tmp_path):
     assert gnss.joined_schemes(gnss.series(rows), ["JNS", "TOT"]).count() == 2
 
 
+def test_segments_of_longer_names(spark, tmp_path):
+    for site in ("A999", "A1000", "A59999", "B_1A", "X9"):
+        put(tmp_path / f"mb_{site}_1PS.dat1", f"Globk\n{site}_A1PS to N Solution  1 +   7.25 m\n\n 2015.5 8.0 0.002\n")
+    got = {(r.station, r.scheme, r.axis, r.marker, r.reference_m, r.value) for r in gnss.segments(spark, str(tmp_path)).collect()}
+    assert got == {(site, "1PS", 1, "A1PS", 7.25, 8.0) for site in ("A999", "A1000", "A59999", "B_1A", "X9")}
+    spark.range(998, 1003).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "d/supplier.parquet"))
+    rows = registered.QUERIES["s02_segment_headers"](spark, str(tmp_path / "d")).collect()
+    assert {r.k: (r.marker, r.reference_m, r.value) for r in rows} == {k: ("A1PS", k + 0.25, 1.5) if k % 2 == 0 else (None, None, 1.5) for k in range(998, 1003)}
+
+
 def test_segments_are_snapped(spark):
     rows = [("a", 2020.0 + k / 100, 1.0 + k / 1000, 0.01) for k in range(5)] + [("b", 2020.03 + k / 100, 21.03 + k / 1000, 0.001) for k in range(4)] + [("c", 2021.0, -9.0, None)]
     df = spark.createDataFrame([("S", 1, f, k, t, v, s) for k, (f, t, v, s) in enumerate(rows)], "station string, axis int, file string, line_no int, yearf double, value double, sigma double")
