@@ -162,13 +162,13 @@ def catalogue_match(a: DataFrame, b: DataFrame, *, seconds: float, km: float, ke
     return found if pairs is None else pairs.unionByName(found)
 
 
-def _cell_size(band: Column, size: float) -> Column:
+def _cell_size(band: Column, size: float | Column) -> Column:
     """Degrees of longitude of a cell in a band of latitude: ``size`` degrees of distance at its neighbours' far edge."""
     edge = F.least((F.abs(band + F.lit(0.5)) + 1.5) * size, F.lit(89.9))
     return size / F.cos(F.radians(edge))
 
 
-def _in_cells(rows: DataFrame, lat: str, lon: str, km: float, around: bool) -> DataFrame:
+def _in_cells(rows: DataFrame, lat: str, lon: str, km: float | Column, around: bool) -> DataFrame:
     """Adds _y and _x, the cell of ``km`` a row is in, or with ``around`` one row for each cell about it.
 
     Each band of latitude has cells of its own width, so that what is within ``km`` is in the same cell or
@@ -194,25 +194,55 @@ def _banded(points: DataFrame, stations: DataFrame, km: float) -> DataFrame:
     return pairs.withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).filter(F.col("km") <= km)
 
 
+#: Distances that one round of ``k_nearest`` works out, for each place and at least; the result does not depend on them.
+PAIRS_A_POINT, PAIRS_A_ROUND = 60, 10_000_000
+
+
+def _radius(points: DataFrame, stations: DataFrame, radii: list[float], k: int) -> float:
+    """The largest of the radii (falling) whose cells hold few enough pairs, counted by cell, else the least."""
+    if len(radii) == 1:
+        return radii[0]
+    of = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(r)).alias("r")) for n, r in enumerate(radii)]))
+
+    def counted(rows: DataFrame, lat: str, lon: str, around: bool, out: str) -> DataFrame:
+        cells = _in_cells(rows.select(F.col(lat).alias("lat"), F.col(lon).alias("lon"), of.alias("_r")).select("lat", "lon", "_r.*"), "lat", "lon", F.col("r"), around)
+        return cells.groupBy("n", "_y", "_x").agg(F.count("*").alias(out))
+
+    pairs = counted(points, "lat", "lon", False, "p").join(counted(stations, "_lat", "_lon", True, "s").hint("merge"), ["n", "_y", "_x"])
+    # One row a radius.
+    made = {r.n: r.pairs for r in pairs.groupBy("n").agg(F.sum(F.col("p").cast("double") * F.col("s")).alias("pairs")).collect()}
+    most = max(PAIRS_A_ROUND, PAIRS_A_POINT * k * points.count())
+    return next((r for n, r in enumerate(radii) if made.get(n, 0.0) <= most), radii[-1])
+
+
 def k_nearest(points: DataFrame, stations: DataFrame, k: int, *, point: str, station: str, start_km: float = 1000.0, max_km: float = 21_000.0) -> DataFrame:
     """The k nearest stations of each point (lat, lon on both): point, station, km, rank.
 
-    Points that have k stations within a radius are done; the others go on with twice the radius.
+    Places count once: of the stations at one place only the k smallest can be among the nearest, and
+    points at one place have the same ones. Places that have k stations within a radius are done; the
+    others go on with a larger one. The first radius is ``start_km``, or less where that many stations
+    are near that too many distances would be worked out; the later ones are at least twice the last.
     Ties go to the smaller station. Spark ranks within the map tasks before it shuffles.
     """
-    s = stations.select(F.col(station).alias("_s"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).filter("_lat is not null and _lon is not null")
-    left, radius, done = points.select(point, "lat", "lon"), min(start_km, max_km), None
-    while True:
-        rank = F.row_number().over(W.partitionBy(point).orderBy("km", "_s"))
-        near = written(_banded(left, s, radius).withColumn("rank", rank).filter(F.col("rank") <= k).select(point, F.col("_s").alias("station"), "km", "rank"), "nearest")
-        full = near if radius >= max_km else near.join(near.filter(F.col("rank") == k).select(point), point, "left_semi")
+    placed = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
+    own = stations.filter(placed).select(F.col(station).alias("_s"), (F.col("lat") + 0.0).alias("_lat"), (F.col("lon") + 0.0).alias("_lon"))
+    least = F.row_number().over(W.partitionBy("_lat", "_lon").orderBy("_s"))
+    s = written(own.withColumn("_n", least).filter(F.col("_n") <= k).drop("_n"), "nearest-stations")
+    whole = points.filter(placed).select(point, (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
+    left, done, last = written(whole.select("lat", "lon").distinct(), "nearest-left"), None, 0.0
+    while last < max_km:
+        steps = [min(start_km, max_km) / 2**n for n in range(12)] if not last else sorted({min(last * 2**n, max_km) for n in range(1, 12)}, reverse=True)
+        radius = _radius(left, s, steps, k)
+        rank = F.row_number().over(W.partitionBy("lat", "lon").orderBy("km", "_s"))
+        near = written(_banded(left, s, radius).withColumn("rank", rank).filter(F.col("rank") <= k).select("lat", "lon", F.col("_s").alias("station"), "km", "rank"), "nearest")
+        full = near if radius >= max_km else near.join(near.filter(F.col("rank") == k).select("lat", "lon"), ["lat", "lon"], "left_semi")
         done = full if done is None else done.unionByName(full)
-        if radius >= max_km:
-            return done
-        left = written(left.join(full.select(point).distinct(), point, "left_anti"), "nearest-left")
+        left, last = written(left.join(full.select("lat", "lon").distinct(), ["lat", "lon"], "left_anti"), "nearest-left"), radius
         if left.isEmpty():
-            return done
-        radius = min(2 * radius, max_km)
+            break
+    # Rows of one point at several places share its ranks.
+    rank = F.row_number().over(W.partitionBy(point).orderBy("km", "station"))
+    return whole.join(done.drop("rank").hint("merge"), ["lat", "lon"]).select(point, "station", "km", rank.alias("rank")).filter(F.col("rank") <= k)
 
 
 def pairs_within(stations: DataFrame, *, station: str, max_km: float) -> DataFrame:

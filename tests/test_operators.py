@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,30 @@ def test_neighbours(spark):
     assert few.count() == 60
 
 
+@pytest.mark.parametrize("pairs", [None, 1])
+def test_neighbours_of_repeated_places(spark, monkeypatch, pairs):
+    """Distances are worked out once a place and a few a round, with the same result, ties to the smaller station."""
+    rng = random.Random(6)
+    places = [(rng.uniform(60, 61), rng.uniform(-20, -18)) for _ in range(40)] + [(-70.0, 100.0), (0.0, 0.0), (-0.0, 179.0)]
+    p = [(k, *rng.choice(places)) for k in range(300)] + [(7, *places[0]), (500, -0.0, 0.0), (501, float("nan"), 0.0)]
+    s = [(k, *rng.choice(places[:41])) for k in range(200)] + [(300, 1.0, float("nan"))]
+    points, stations = spark.createDataFrame(p, "p int, lat double, lon double"), spark.createDataFrame(s, "s int, lat double, lon double")
+    if pairs:
+        monkeypatch.setattr(joins, "PAIRS_A_POINT", pairs)
+        monkeypatch.setattr(joins, "PAIRS_A_ROUND", pairs)
+    seen, banded = [], joins._banded
+    monkeypatch.setattr(joins, "_banded", lambda left, right, km: seen.append((left.count(), right.count(), km)) or banded(left, right, km))
+    km = lambda a, b: float(np.hypot((b[1] - a[1]) * 111.19, (b[2] - a[2]) * 111.19 * np.cos(np.radians((a[1] + b[1]) / 2))))
+    want = []
+    for k in sorted({a[0] for a in p if a[1] == a[1]}):
+        near = sorted((km(a, b), b[0]) for a in p if a[0] == k for b in s[:-1])[:3]
+        want += [(k, n + 1, station, round(d, 6)) for n, (d, station) in enumerate(near)]
+    got = joins.k_nearest(points, stations, 3, point="p", station="s", start_km=4000.0, max_km=60000.0)
+    assert sorted((r.p, r.rank, r.station, round(r.km, 6)) for r in got.collect()) == want
+    assert max(n for n, *_ in seen) <= 43 and max(n for _, n, _ in seen) <= 123
+    assert not pairs or (seen[0][2] < 10 and len(seen) > 2 and seen[-1][0] <= 3)
+
+
 def test_counts_keep_null_categories(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(t, "a"), (t + dt.timedelta(2), None), (None, "a")], "t timestamp_ntz, c string")
