@@ -505,8 +505,13 @@ def j36_kernel(spark, d):
 o AS (SELECT *, row_number() OVER (PARTITION BY ev, s ORDER BY row_id) r FROM q), k AS (SELECT * FROM o WHERE r = 1)
 SELECT ev AS event, coalesce(max(row_id) FILTER (s = 'picks'), max(row_id) FILTER (s = 'auto')) AS row_id, round(max(depth_km) FILTER (s = 'auto'), 6) AS auto_value, count(*) AS n_solutions FROM k GROUP BY ev""")
 def j08_twins(spark, d):
+    """Twins of an event with NaN kept as the value it is in the table."""
+    return _twins(spark, d, nan_is_missing=False)
+
+
+def _twins(spark, d, nan_is_missing: bool) -> DataFrame:
     q = read(spark, d, "skjalftalisa_quakes").select("row_id", text.canonical_number(F.col("event_id")).cast("long").alias("event"), F.when(F.lower(F.trim("originating_system")) == "sil picks", "picks").otherwise("auto").alias("system"), "depth_km")
-    out = joins.resolved_twins(q, event="event", system="system", reviewed_system="picks", order=[F.col("row_id")], auto_value="depth_km")
+    out = joins.resolved_twins(q, event="event", system="system", reviewed_system="picks", order=[F.col("row_id")], auto_value="depth_km", nan_is_missing=nan_is_missing)
     return out.select("event", "row_id", F.round("auto_value", 6).alias("auto_value"), "n_solutions")
 
 
@@ -515,8 +520,8 @@ CASE WHEN NOT isnan(depth_km) THEN depth_km END AS depth_km FROM skjalftalisa_qu
 o AS (SELECT *, row_number() OVER (PARTITION BY ev, s ORDER BY row_id) r FROM q), k AS (SELECT * FROM o WHERE r = 1)
 SELECT ev AS event, coalesce(max(row_id) FILTER (s = 'picks'), max(row_id) FILTER (s = 'auto')) AS row_id, round(max(depth_km) FILTER (s = 'auto'), 6) AS auto_value, count(*) AS n_solutions FROM k GROUP BY ev""")
 def j08_twins_missing(spark, d):
-    """As j08_twins, with NaN as a missing value in the SQL too."""
-    return j08_twins(spark, d)
+    """As j08_twins, with NaN as a missing value."""
+    return _twins(spark, d, nan_is_missing=True)
 
 
 @query("""SELECT 'orders' AS source, o_orderkey AS k, o_orderdate AS at FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'

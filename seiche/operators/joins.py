@@ -283,12 +283,15 @@ def compared(a: DataFrame, b: DataFrame, key: str, *, numbers: dict[str, float],
     return joined.select(F.coalesce(F.col(f"a.{key}"), F.col(f"b.{key}")).alias(key), F.explode(F.array_compact(F.array(*tests))).alias("d")).select(key, "d.*")
 
 
-def resolved_twins(rows: DataFrame, *, event: str, system: str, reviewed_system: str, order: list[Column], auto_value: str) -> DataFrame:
-    """One row an event: the reviewed solution where there is one, with the automatic twin's value beside it."""
+def resolved_twins(rows: DataFrame, *, event: str, system: str, reviewed_system: str, order: list[Column], auto_value: str, nan_is_missing: bool = True) -> DataFrame:
+    """One row an event: the reviewed solution where there is one, with the automatic twin's value beside it.
+
+    NaN is a missing value, or with ``nan_is_missing`` false a value like any other.
+    """
     from seiche.functions.geo import number
     from seiche.operators.windows import first_per_key
 
-    one = first_per_key(rows.withColumn(auto_value, number(auto_value)), [event, system], order)
+    one = first_per_key(rows.withColumn(auto_value, number(auto_value)) if nan_is_missing else rows, [event, system], order)
     picks, autos = one.filter(F.col(system) == reviewed_system), first_per_key(one.filter(F.col(system) != reviewed_system), [event], [F.col(system)])
     twins = autos.select(F.col(event), F.col(auto_value).alias("auto_value"))
     kept = picks.join(twins, event, "left")

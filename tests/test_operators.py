@@ -275,6 +275,14 @@ def test_comparison_and_twins(spark):
     assert out == {1: (7.0, 5.0, 2), 2: (6.0, 6.0, 1)}
 
 
+def test_twins_without_a_depth(spark, tmp_path):
+    rows = [(1, "sil00012", "SIL picks", 4.0), (2, "12", "sil aut", float("nan")), (3, "13", None, None), (4, "14", "x", 2.5), (5, "15", "x", float("nan"))]
+    spark.createDataFrame(rows, "row_id long, event_id string, originating_system string, depth_km double").write.parquet(str(tmp_path / "skjalftalisa_quakes.parquet"))
+    got = {q: {r.event: (r.row_id, str(r.auto_value), r.n_solutions) for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("j08_twins", "j08_twins_missing")}
+    assert got["j08_twins"] == {12: (1, "nan", 2), 13: (3, "None", 1), 14: (4, "2.5", 1), 15: (5, "nan", 1)}
+    assert got["j08_twins_missing"] == {12: (1, "None", 2), 13: (3, "None", 1), 14: (4, "2.5", 1), 15: (5, "None", 1)}
+
+
 def test_upsert_and_baseline_meet_every_key(spark, tmp_path):
     spark.range(1, 31).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.o_orderkey: r.source for r in catalogue.QUERIES["st07_upsert_all"](spark, str(tmp_path)).collect()}
