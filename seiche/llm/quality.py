@@ -237,13 +237,20 @@ def distributions(stats: DataFrame) -> DataFrame:
     return sketches(stats).filter("n_docs > 0").select("lang", "pooled", "n_docs", F.explode(each).alias("e")).select("lang", "pooled", "n_docs", "e.*")
 
 
-def scored(stats: DataFrame) -> DataFrame:
+def scored(stats: DataFrame, among: DataFrame | None = None, least: int = 1) -> DataFrame:
     """The statistics with z_<name> (own language) and pz_<name> (all documents), robust z-scores.
 
+    The distributions are those of ``among``, or of the statistics themselves; languages with fewer
+    than ``least`` documents there have no scores of their own.
     A score is the distance from the median over the interquartile range scaled to a standard
     deviation; the range is held to at least 0.01 so that constant statistics do not divide by zero.
     """
-    wide = distributions(stats).groupBy("lang", "pooled").pivot("statistic", list(STATISTICS)).agg(F.first("q"))
+    cuts = written(distributions(stats if among is None else among).filter(F.col("pooled") | (F.col("n_docs") >= least)), "quality-quantiles")
+    wide = cuts.groupBy("lang", "pooled").pivot("statistic", list(STATISTICS)).agg(F.first("q"))
+    if among is not None or least > 1:
+        known = cuts.filter(~F.col("pooled")).select(F.col("lang").alias("q_lang")).distinct()
+        others = stats.select("lang").distinct().join(known, F.col("lang").eqNullSafe(F.col("q_lang")), "left_anti")
+        wide = wide.unionByName(others.withColumn("pooled", F.lit(False)), allowMissingColumns=True)
     # The pooled quantiles stand beside each language's, so that one join by language brings both.
     over_all = W.partitionBy(F.lit(0))
     q = wide.select("lang", "pooled", *[F.col(s).alias(f"q_{s}") for s in STATISTICS], *[F.max(F.when(F.col("pooled"), F.col(s))).over(over_all).alias(f"p_{s}") for s in STATISTICS])
@@ -254,6 +261,19 @@ def scored(stats: DataFrame) -> DataFrame:
     return rows.drop(*[f"{p}_{s}" for p in "qp" for s in STATISTICS])
 
 
+def tails(stats: DataFrame, *, most: float = 0.5, beyond: float = 3.0, least: int = 20) -> DataFrame:
+    """Statistics in the tails: doc_id, lang, n_words, statistic, value, z, pz, one row a document and statistic.
+
+    A value is in a tail where its robust z-score exceeds ``beyond`` on either side, among the prose of
+    its language (z), or among all prose (pz) where its language has fewer than ``least`` documents of it.
+    The distributions are those of the documents with a share of no prose up to ``most``: what is no
+    prose doesn't move them, however much of it there is.
+    """
+    rows = scored(stats, stats.filter(F.col("no_prose") <= most), least)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value"), F.col(f"z_{s}").alias("z"), F.col(f"pz_{s}").alias("pz")) for s in STATISTICS]))
+    return rows.select("doc_id", "lang", "n_words", each.alias("e")).select("doc_id", "lang", "n_words", "e.*").filter(F.abs(F.coalesce("z", "pz")) > beyond)
+
+
 def no_prose(documents: DataFrame, *, most: float = 0.5, **columns: str) -> DataFrame:
     """Documents most of whose characters are no prose: doc_id, doc_kind (list, table or junk).
 

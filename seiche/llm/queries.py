@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seiche.llm.consensus import consensus, event_number, not_missing, survivors
 from seiche.llm.leaks import leaked_windows, leaks
 from seiche.llm.nearest_time import complete_records, matched_by_time
-from seiche.llm.quality import distributions, no_prose, statistics
+from seiche.llm.quality import distributions, no_prose, statistics, tails
 from seiche.llm.tokens import encoded, vocabulary_use
 from seiche.session import written
 
@@ -94,7 +94,12 @@ def p10_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions(statistics(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_consensus, p8_ids, p8_vocabulary, p9_found, p9_overlaps, p10_found, p10_statistics, p10_distributions)}
+def p10_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each document that are in the tails of the prose of its language, by robust z-scores."""
+    return tails(written(statistics(_read(spark, sf_dir, "documents")), "text-statistics"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_consensus, p8_ids, p8_vocabulary, p9_found, p9_overlaps, p10_found, p10_statistics, p10_distributions, p10_tails)}
 
 _FILLED = " + ".join(f"(CASE WHEN {c} IS NOT NULL AND NOT isnan({c})" + (f" AND {c} BETWEEN -3 AND 10" if c.startswith("m_") else "") + " THEN 1 ELSE 0 END)" for c in COMPLETE)
 

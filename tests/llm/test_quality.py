@@ -3,6 +3,7 @@
 import random
 import string
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -76,6 +77,27 @@ def test_sketches_and_scores(spark):
     assert scored(stats).filter("z_no_prose is null").count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_tails_do_not_move_with_what_is_no_prose(spark, times):
+    from seiche.llm.quality import tails
+
+    docs = documents()
+    rows = [(t, "en") for kind, t in docs if kind == "prose"] + [(t, lang) for kind, t in docs if kind != "prose" for lang in ["en", "xx", None] * times]
+    rows += [(PROSE * 3, "xx"), (None, "en"), ("", None)]
+    stats = statistics(frame(spark, rows)).cache()
+    got = tails(stats).collect()
+    shares = {r.doc_id: r.no_prose for r in stats.collect()}
+    # All that is no prose is in the tail, in languages with next to no prose among all of it; plain prose is in none.
+    found = {r.doc_id for r in got if r.statistic == "no_prose"}
+    assert found >= {k for k, s in shares.items() if s is not None and s > 0.5} and len(rows) - 3 not in {r.doc_id for r in got}
+    assert {r.lang for r in got} == {"en", "xx", None} and all((r.z is None) == (r.lang != "en") and r.pz is not None for r in got)
+    values = sorted(s for k, s in shares.items() if s is not None and s <= 0.5)
+    q = np.quantile(values, [0.25, 0.5, 0.75], method="inverted_cdf")
+    one = next(r for r in got if r.statistic == "no_prose" and r.lang == "xx")
+    assert one.pz == pytest.approx((one.value - q[1]) / max((q[2] - q[0]) / 1.349, 0.01), rel=0.05)
+    assert tails(stats.filter("no_prose > 0.5")).count() == 0
+
+
 def test_empty(spark):
     assert no_prose(frame(spark, [])).count() == 0
     assert no_prose(frame(spark, [(None, None)])).count() == 0
