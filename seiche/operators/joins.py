@@ -198,10 +198,8 @@ def _banded(points: DataFrame, stations: DataFrame, km: float) -> DataFrame:
 PAIRS_A_POINT, PAIRS_A_ROUND = 60, 10_000_000
 
 
-def _radius(points: DataFrame, stations: DataFrame, radii: list[float], k: int) -> float:
-    """The largest of the radii (falling) whose cells hold few enough pairs, counted by cell, else the least."""
-    if len(radii) == 1:
-        return radii[0]
+def _radius(points: DataFrame, stations: DataFrame, radii: list[float], k: int) -> float | None:
+    """The largest of the radii (falling) whose cells hold few enough pairs, counted by cell; None where each has too many."""
     of = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(r)).alias("r")) for n, r in enumerate(radii)]))
 
     def counted(rows: DataFrame, lat: str, lon: str, around: bool, out: str) -> DataFrame:
@@ -212,7 +210,15 @@ def _radius(points: DataFrame, stations: DataFrame, radii: list[float], k: int)
     # One row a radius.
     made = {r.n: r.pairs for r in pairs.groupBy("n").agg(F.sum(F.col("p").cast("double") * F.col("s")).alias("pairs")).collect()}
     most = max(PAIRS_A_ROUND, PAIRS_A_POINT * k * points.count())
-    return next((r for n, r in enumerate(radii) if made.get(n, 0.0) <= most), radii[-1])
+    return next((r for n, r in enumerate(radii) if made.get(n, 0.0) <= most), None)
+
+
+def _first_radius(points: DataFrame, stations: DataFrame, start_km: float, k: int) -> float:
+    """``start_km``, halved until few enough pairs are that near, down to less than a millimetre (2**-32 of 4 000 km)."""
+    for most in (8, 16, 24, 32):
+        if found := _radius(points, stations, [start_km / 2**n for n in range(most - 8, most)], k):
+            return found
+    return start_km / 2**31
 
 
 def k_nearest(points: DataFrame, stations: DataFrame, k: int, *, point: str, station: str, start_km: float = 1000.0, max_km: float = 21_000.0) -> DataFrame:
@@ -231,8 +237,11 @@ def k_nearest(points: DataFrame, stations: DataFrame, k: int, *, point: str, sta
     whole = points.filter(placed).select(point, (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
     left, done, last = written(whole.select("lat", "lon").distinct(), "nearest-left"), None, 0.0
     while last < max_km:
-        steps = [min(start_km, max_km) / 2**n for n in range(12)] if not last else sorted({min(last * 2**n, max_km) for n in range(1, 12)}, reverse=True)
-        radius = _radius(left, s, steps, k)
+        if last:
+            steps = sorted({min(last * 2**n, max_km) for n in range(1, 9)}, reverse=True)
+            radius = steps[0] if len(steps) == 1 else _radius(left, s, steps, k) or steps[-1]
+        else:
+            radius = _first_radius(left, s, min(start_km, max_km), k)
         rank = F.row_number().over(W.partitionBy("lat", "lon").orderBy("km", "_s"))
         near = written(_banded(left, s, radius).withColumn("rank", rank).filter(F.col("rank") <= k).select("lat", "lon", F.col("_s").alias("station"), "km", "rank"), "nearest")
         full = near if radius >= max_km else near.join(near.filter(F.col("rank") == k).select("lat", "lon"), ["lat", "lon"], "left_semi")

@@ -218,6 +218,18 @@ def test_neighbours_of_repeated_places(spark, monkeypatch, pairs):
     assert not pairs or (seen[0][2] < 10 and len(seen) > 2 and seen[-1][0] <= 3)
 
 
+def test_neighbours_within_a_town(spark, monkeypatch):
+    """Where most places are metres apart, the first radius is of metres."""
+    monkeypatch.setattr(joins, "PAIRS_A_POINT", 10)
+    monkeypatch.setattr(joins, "PAIRS_A_ROUND", 1)
+    seen, banded = [], joins._banded
+    monkeypatch.setattr(joins, "_banded", lambda left, right, km: seen.append(km) or banded(left, right, km))
+    s = spark.range(300).select(F.col("id").alias("s"), (64 + F.col("id") * 1e-4).alias("lat"), F.lit(-21.0).alias("lon"))
+    got = joins.k_nearest(s.withColumnRenamed("s", "p"), s, 2, point="p", station="s", start_km=4000.0)
+    assert {(r.p, r.rank): r.station for r in got.collect() if r.rank == 1} == {(k, 1): k for k in range(300)}
+    assert got.count() == 600 and seen[0] < 0.2
+
+
 def test_counts_keep_null_categories(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(t, "a"), (t + dt.timedelta(2), None), (None, "a")], "t timestamp_ntz, c string")
